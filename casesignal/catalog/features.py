@@ -79,14 +79,6 @@ _TAG_SQL = ", ".join(
 )
 
 
-def _all_tags(df, columns=_TYPES):
-    """Tag columns exist for the tags that occur; make the set fixed."""
-    missing = [c for c in columns if c not in df.columns]
-    for c in missing:
-        df = df.withColumn(c, F.lit(None).cast("long"))
-    return df
-
-
 # max and min of whole-number properties are compared as fractions.
 _INT_EXTREMES = ("HBD_max", "HBA_max")
 
@@ -115,12 +107,13 @@ _V1_CTES = {
     ),
 )
 def case_features_v1(spark, sf):
-    return _as_fractions(_all_tags(v1(spark, sf)))
+    return _as_fractions(v1(spark, sf))
 
 
 def v1(spark, sf):
     return casefeatures.features_v1(
-        a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf), a.demo(spark, sf), brands=a.BRANDS
+        a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf), a.demo(spark, sf), brands=a.BRANDS,
+        tag_values=_TYPES,
     )
 
 
@@ -162,12 +155,13 @@ _AGE_BIN = """CASE WHEN AGE > -1 AND AGE <= 18 THEN '<18' WHEN AGE > 18 AND AGE
     ),
 )
 def case_features_v2(spark, sf):
-    return _as_fractions(_all_tags(v2(spark, sf)))
+    return _as_fractions(v2(spark, sf))
 
 
 def v2(spark, sf):
     return casefeatures.features_v2(
-        a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf), a.demo(spark, sf), brands=a.BRANDS
+        a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf), a.demo(spark, sf), brands=a.BRANDS,
+        tag_values=_TYPES,
     )
 
 
@@ -188,9 +182,9 @@ def case_features_v2_minimal(spark, sf):
     """Without demographics, role and route columns."""
     out = casefeatures.features_v2(
         a.drug(spark, sf).drop("ROLE_COD", "ROUTE"), a.reac(spark, sf), a.dim(spark, sf),
-        role=None, route=None, brands=a.BRANDS,
+        role=None, route=None, brands=a.BRANDS, tag_values=_TYPES,
     )
-    return _as_fractions(_all_tags(out))
+    return _as_fractions(out)
 
 
 # --- drug-level metrics ----------------------------------------------------

@@ -1 +1,155 @@
-"""Placeholder."""
+"""Training and scoring on the case tables.
+
+Model sizes are kept small here; the estimators' defaults are the full ones.
+"""
+
+from pyspark.sql import functions as F
+
+from casesignal.catalog import adapters as a
+from casesignal.catalog.features import v1, v2
+from casesignal.catalog.ranking import _picked
+from casesignal.catalog.registry import query
+from casesignal.catalog.safety import model_tables
+from casesignal.operators import aggregate, evaluate, labels, splits
+from casesignal.plans import train
+from casesignal.session import scratch_path, stored
+from casesignal.sources.tables import load_pipeline, save_model
+
+_ID, _Y = "PRIMARYID", "y_multiADR"
+_NOT_FEATURES = (_ID, _Y, "ADR_count")
+
+
+def _v1_split(spark, sf):
+    cases = stored(v1(spark, sf), "cases")
+    return splits.stratified_holdout(cases, _ID, [_Y], 42)
+
+
+def _fit_v1(spark, sf, estimator):
+    split = _v1_split(spark, sf)
+    rows, test = split.where("is_test = 0"), split.where("is_test = 1")
+    features = train.choose_features(rows, (*_NOT_FEATURES, "is_test"))
+    return train.fit_and_score(rows, test, _ID, _Y, features, estimator, scaling="std")
+
+
+@query("logistic_scores")
+def logistic_scores(spark, sf):
+    """Balanced logistic regression, scores of the held-out cases."""
+    rows = a.demo(spark, sf).count()
+    _, scored, _ = _fit_v1(spark, sf, train.logistic(rows, max_iter=50))
+    return evaluate.apply_threshold(scored, "score", 0.5)
+
+
+@query("logistic_coefficients")
+def logistic_coefficients(spark, sf):
+    rows = a.demo(spark, sf).count()
+    model, _, done = _fit_v1(spark, sf, train.logistic(rows, max_iter=50))
+    return train.importance_table(spark, train.coefficients(model.stages[-1], done.names), "lr_coef")
+
+
+@query("forest_report")
+def forest_report(spark, sf):
+    """Random forest, classification report on the held-out cases."""
+    _, scored, _ = _fit_v1(spark, sf, train.forest(trees=10, depth=6))
+    predicted = evaluate.apply_threshold(scored, "score", 0.5)
+    return evaluate.classification_report(evaluate.confusion(predicted, _Y, "pred"))
+
+
+@query("pipeline_roundtrip")
+def pipeline_roundtrip(spark, sf):
+    """Saved and loaded pipeline; it scores raw case rows."""
+    model, _, _ = _fit_v1(spark, sf, train.logistic(1000, max_iter=20))
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    return train.scores(load_pipeline(path), v1(spark, sf), [_ID])
+
+
+def _cross_validated(spark, sf):
+    cases = stored(v2(spark, sf), "cases")
+    folded = splits.stratified_folds(cases, _ID, [_Y], 42, folds=3)
+    features = train.choose_features(folded, (*_NOT_FEATURES, "fold"))
+    return train.cross_validate(
+        folded, _ID, _Y, "fold", 3, features, train.boosted(rounds=5, depth=4)
+    )
+
+
+@query("boosted_cv_metrics")
+def boosted_cv_metrics(spark, sf):
+    """Boosted trees, metrics of each fold."""
+    return _cross_validated(spark, sf).metrics
+
+
+@query("boosted_oof_report")
+def boosted_oof_report(spark, sf):
+    """Report over all out-of-fold predictions."""
+    return train.oof_summary(_cross_validated(spark, sf), _Y)[2]
+
+
+@query("boosted_importances")
+def boosted_importances(spark, sf):
+    return _cross_validated(spark, sf).importances
+
+
+def _aligned(spark, sf):
+    tables = model_tables(spark, sf)
+    x = labels.align_xy(
+        tables.x, _picked(spark, sf), tables.y, _ID, "drug_mapped", "picked_drug", ["PT"]
+    )
+    pairs = stored(tables.y, "labels")
+    return stored(x, "aligned"), pairs
+
+
+_X_FEATURES = train.FeatureSet(
+    ("AGE", "mol_weight", "logP", "TPSA", "HBD", "HBA"), ("SEX", "drug_mapped", "ATC")
+)
+
+
+@query("boosted_per_label")
+def boosted_per_label(spark, sf):
+    """One boosted model per top label, thresholds from the grid."""
+    x, pairs = _aligned(spark, sf)
+    parts = splits.nested(x, _ID, 42)
+    names = labels.label_names(pairs, _ID, "PT", 2)
+    out = train.train_per_label(
+        parts, pairs, _ID, "PT", names, "part", _X_FEATURES, train.boosted(rounds=3, depth=3),
+        scheme="positive", tuning="grid", scaling="standard", encode="index",
+    )
+    return out.predictions
+
+
+@query("forest_per_label")
+def forest_per_label(spark, sf):
+    """One forest per top label on numbers and name bits, stepped thresholds."""
+    from casesignal.operators import prep
+
+    x, pairs = _aligned(spark, sf)
+    with_bits = prep.bits_by_value(x, "drug_mapped", nbits=64)
+    parts = splits.nested(with_bits, _ID, 42)
+    names = labels.label_names(pairs, _ID, "PT", 2)
+    features = train.FeatureSet(_X_FEATURES.numeric, (), "bits", 64)
+    out = train.train_per_label(
+        parts, pairs, _ID, "PT", names, "part", features, train.forest(trees=5, min_leaf=1, depth=5),
+        tuning="stepped", refit=True, fill="zero",
+    )
+    return evaluate.micro_macro_f1(out.predictions, "y", "pred", "label")
+
+
+@query("forest_multi_vs_single")
+def forest_multi_vs_single(spark, sf):
+    """Tuned on validation rows, refitted, binary metrics of the test rows."""
+    x, pairs = _aligned(spark, sf)
+    y = labels.multi_vs_single(pairs, _ID, "PT", 10).select(_ID, "y")
+    parts = splits.nested(x.join(y, _ID), _ID, 42, ["y"])
+    tuned = train.tune_and_refit(
+        parts, _ID, "y", "part", _X_FEATURES, train.forest(trees=5, min_leaf=1, depth=5),
+        fill="zero", encode="index",
+    )
+    return evaluate.binary_metrics(tuned.predictions, "y", "pred").withColumn(
+        "threshold", F.lit(tuned.threshold)
+    )
+
+
+@query("forest_top_importances")
+def forest_top_importances(spark, sf):
+    model, _, done = _fit_v1(spark, sf, train.forest(trees=5, depth=5))
+    table = train.importance_table(spark, train.importances(model.stages[-1], done.names))
+    return aggregate.top_rows(table, 30, ["importance"], ["feature"])

@@ -32,10 +32,29 @@ def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> D
     return running_totals(counts, "score", ["pos", "neg"], by, previous="below")
 
 
-_TP = F.col("pos_total") - F.col("pos_before")
-_FP = F.col("neg_total") - F.col("neg_before")
-_P = F.col("pos_total")
-_N = F.col("neg_total")
+def _hits() -> tuple[Column, Column]:
+    """True and false positives when every row from this score up is taken."""
+    return F.col("pos_total") - F.col("pos_before"), F.col("neg_total") - F.col("neg_before")
+
+
+def _auc() -> Column:
+    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
+    return F.sum(won) / _nz(F.max("pos_total").cast("double") * F.max("neg_total"))
+
+
+def _ap() -> Column:
+    tp, fp = _hits()
+    return F.sum(F.col("pos") * (tp / (tp + fp))) / _nz(F.max("pos_total"))
+
+
+def _f1() -> Column:
+    """F1 at a threshold, from whole counts: equal values compare as equal."""
+    tp, fp = _hits()
+    return 2 * tp / (F.col("pos_total") + tp + fp)
+
+
+def _lowest_best() -> Column:
+    return F.struct(_f1(), -F.col("score"))
 
 
 def _nz(c: Column) -> Column:
@@ -44,36 +63,29 @@ def _nz(c: Column) -> Column:
 
 def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties count one half; null with one class only."""
-    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    table = score_counts(df, y, score, by)
-    return table.groupBy(*by).agg((F.sum(won) / _nz(F.max(_P).cast("double") * F.max(_N))).alias("auc"))
+    return score_counts(df, y, score, by).groupBy(*by).agg(_auc().alias("auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision, no interpolation."""
-    step = F.col("pos") * (_TP / (_TP + _FP))
-    table = score_counts(df, y, score, by)
-    return table.groupBy(*by).agg((F.sum(step) / _nz(F.max(_P))).alias("ap"))
+    return score_counts(df, y, score, by).groupBy(*by).agg(_ap().alias("ap"))
 
 
 def auc_and_ap(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Both areas from one score table."""
-    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    step = F.col("pos") * (_TP / (_TP + _FP))
-    return score_counts(df, y, score, by).groupBy(*by).agg(
-        (F.sum(won) / _nz(F.max(_P).cast("double") * F.max(_N))).alias("auc"),
-        (F.sum(step) / _nz(F.max(_P))).alias("ap"),
-    )
+    table = score_counts(df, y, score, by)
+    return table.groupBy(*by).agg(_auc().alias("auc"), _ap().alias("ap"))
 
 
 def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each threshold, and the end point (1, 0)."""
     table = score_counts(df, y, score, by)
+    tp, fp = _hits()
     curve = table.select(
         *by,
         F.col("score").alias("threshold"),
-        (_TP / (_TP + _FP)).alias("precision"),
-        (_TP / _nz(_P)).alias("recall"),
+        (tp / (tp + fp)).alias("precision"),
+        (tp / _nz(F.col("pos_total"))).alias("recall"),
     )
     ends = table.groupBy(*by).agg(
         F.lit(None).cast("double").alias("threshold"),
@@ -83,15 +95,10 @@ def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataF
     return curve.unionByName(ends)
 
 
-# F1 at a threshold, from whole counts: equal values compare as equal.
-_F1 = 2 * _TP / (_P + _TP + _FP)
-_LOWEST_BEST = F.struct(_F1, -F.col("score"))
-
-
 def best_threshold(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Threshold with the highest F1; the lowest one among equals."""
     return score_counts(df, y, score, by).groupBy(*by).agg(
-        F.max_by("score", _LOWEST_BEST).alias("threshold"), F.max(_F1).alias("f1")
+        F.max_by("score", _lowest_best()).alias("threshold"), F.max(_f1()).alias("f1")
     )
 
 
@@ -111,9 +118,9 @@ def stepped_threshold(
     binary form is ``low=0.3``.
     """
     best = score_counts(df, y, score, by).groupBy(*by).agg(
-        F.max_by(F.struct("below"), _LOWEST_BEST)["below"].alias("below"),
-        F.max(_P).alias("n_pos"),
-        F.max(_N).alias("n_neg"),
+        F.max_by(F.struct("below"), _lowest_best())["below"].alias("below"),
+        F.max("pos_total").alias("n_pos"),
+        F.max("neg_total").alias("n_neg"),
     )
     stepped = F.when(
         F.col("below").isNotNull(), F.greatest(F.least(F.col("below"), F.lit(high)), F.lit(low))

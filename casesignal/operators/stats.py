@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casesignal.operators import order
 from casesignal.session import stored
@@ -108,7 +109,7 @@ def two_sided_p(rho: float, n: int) -> float:
     return _beta_share((n - 2) / 2.0, 0.5, max(0.0, 1.0 - rho * rho))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_values(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for rho, n in batches:
         yield pd.Series([two_sided_p(r, k) for r, k in zip(rho, n)], dtype="float64")

@@ -66,7 +66,7 @@ def content_key(df: DataFrame, column: str) -> str:
         F.bit_xor(hashed).alias("x"),
         F.bit_xor(F.conv(F.substring(F.md5("v"), 1, 15), 16, 10).cast("long")).alias("m"),
     ).first()
-    return f"{row['n']:x}-{(row['s'] or 0) % 2**64:x}-{(row['x'] or 0) % 2**64:x}-{(row['m'] or 0):x}"
+    return "-".join(f"{int(row[k] or 0) % 2**64:x}" for k in "nsxm")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
