@@ -15,7 +15,8 @@ _PICK = f"""SELECT PRIMARYID, drug_mapped AS picked_drug FROM
 
 def _picked(spark, sf):
     mapped = names.resolve_names(
-        a.drug(spark, sf), "DRUGNAME", a.dim(spark, sf), ordinal="ordinal", synonyms=a.SYNONYMS
+        a.drug(spark, sf), "DRUGNAME", a.dim(spark, sf), ordinal="ordinal",
+        synonyms=a.SYNONYMS, keep_unmatched=False,
     )
     return cohort.pick_primary(mapped, "PRIMARYID", "ROLE_COD", "drug_mapped")
 

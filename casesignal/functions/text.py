@@ -8,17 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Python sees it: Unicode White_Space plus the four separators.
-_WS = r"[\s\x1c-\x1f]"
+_WS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(i) for i in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim_ws(c: Column) -> Column:
     """Strip all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(_WS))
+
+
+def blank_ws(c: Column) -> Column:
+    """Turn every white-space character into a blank."""
+    return F.translate(c, _WS, " " * len(_WS))
 
 
 def squeeze_ws(c: Column) -> Column:
     """Turn every run of white space into one blank."""
-    return F.regexp_replace(c, rf"(?U){_WS}+", " ")
+    return F.regexp_replace(blank_ws(c), " {2,}", " ")
 
 
 def _or_token(c: Column, null_token: str | None) -> Column:
@@ -50,7 +59,7 @@ def std_name(c: Column, null_token: str | None = None) -> Column:
 
 def first_token(c: Column) -> Column:
     """First white-space separated word; empty text for blank input."""
-    return F.element_at(F.split(trim_ws(c), rf"(?U){_WS}+"), 1)
+    return F.substring_index(F.btrim(blank_ws(c)), " ", 1)
 
 
 def contains_any(c: Column, terms: list[str] | tuple[str, ...]) -> Column:

@@ -67,6 +67,7 @@ def resolve_names(
     ordinal: str | None = None,
     synonyms: Mapping[str, str] = SYNONYMS,
     out: str = "drug_mapped",
+    keep_unmatched: bool = True,
     inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Map free text to a dimension name; null where nothing fits.
@@ -78,6 +79,10 @@ def resolve_names(
     A dimension of at most ``inline_rows`` rows becomes one expression over
     each row: no shuffle and no join. A larger one is matched on the distinct
     names by a single equi-join on whole key, token and substrings.
+
+    ``keep_unmatched=False`` drops rows without a match right here. A filter
+    set on the result instead would be pushed below the expression, which then
+    runs twice.
     """
     checked = check_size(dim)
     if checked.small and len(checked.rows) <= inline_rows:
@@ -87,21 +92,41 @@ def resolve_names(
         else:
             rows = sorted(rows, key=lambda r: r[dim_name].upper())
         keys = {r[dim_name].upper(): r[dim_name] for r in rows}
-        return df.withColumn(out, _cascade(F.col(name), keys, synonyms))
-    return _resolve_by_join(df, name, checked, dim_name, ordinal, synonyms, out)
+        return _resolve_by_expression(df, name, keys, synonyms, out, keep_unmatched)
+    mapped = _resolve_by_join(df, name, checked, dim_name, ordinal, synonyms, out)
+    return mapped if keep_unmatched else mapped.where(F.col(out).isNotNull())
 
 
-def _cascade(raw: Column, keys: Mapping[str, str], synonyms: Mapping[str, str]) -> Column:
-    key = text.lookup_key(raw)
-    token = text.first_token(key)
+def _resolve_by_expression(
+    df: DataFrame,
+    name: str,
+    keys: Mapping[str, str],
+    synonyms: Mapping[str, str],
+    out: str,
+    keep_unmatched: bool,
+) -> DataFrame:
+    # Key, token and result are steps of their own: each is used several times
+    # and must not be worked out again for every use.
+    key, token = F.col("__key"), F.col("__token")
     known = _literal_map(keys)
     inside = [F.when(key.contains(k), F.lit(v)) for k, v in keys.items() if k]
-    return F.coalesce(
-        F.try_element_at(known, key),
-        F.try_element_at(known, token),
-        F.try_element_at(_literal_map(synonyms), token),
-        *inside,
+    found = (
+        df.withColumn("__key", text.lookup_key(F.col(name)))
+        .withColumn("__token", text.first_token(key))
+        .withColumn(
+            "__found",
+            F.coalesce(
+                F.try_element_at(known, key),
+                F.try_element_at(known, token),
+                F.try_element_at(_literal_map(synonyms), token),
+                *inside,
+            ),
+        )
     )
+    if keep_unmatched:
+        return found.select(*df.columns, F.col("__found").alias(out))
+    hit = F.when(F.col("__found").isNotNull(), F.array("__found"))
+    return found.select(*df.columns, F.explode(hit).alias(out))
 
 
 def _resolve_by_join(

@@ -33,12 +33,13 @@ def mapped_exposures(
     synonyms: Mapping[str, str] = SYNONYMS,
     out: str = "drug_mapped",
 ) -> DataFrame:
-    """Suspect and concomitant rows with their resolved name.
+    """Suspect and concomitant rows that resolve, with the resolved name.
 
     The role filter runs before the resolution, so it reaches the scan.
     """
     return names.resolve_names(
-        cohort.keep_roles(drug, role), name, dim, dim_name, ordinal, synonyms, out
+        cohort.keep_roles(drug, role), name, dim, dim_name, ordinal, synonyms, out,
+        keep_unmatched=False,
     )
 
 
