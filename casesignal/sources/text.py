@@ -64,6 +64,8 @@ def _reader(spark: SparkSession, sep: str, encoding: str):
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", "false")
+        # A row is checked against its whole header whatever is selected.
+        .option("columnPruning", "false")
     )
 
 
@@ -122,7 +124,10 @@ def _scan(spark, header, paths, wanted, sep, encoding) -> tuple[DataFrame, DataF
         .withColumn("__file", F.col("_metadata.file_path"))
     )
     # Short rows are padded with nulls; only surplus fields spoil a row.
-    bare = F.regexp_replace(F.col(_BAD), '"[^"]*"', "")
+    # The reader refuses queries on the raw line alone, so an empty piece of a
+    # parsed field goes with it.
+    line = F.concat(F.col(_BAD), F.substring(F.coalesce(F.col(taken[0]), F.lit("")), 1, 0))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
     too_long = F.coalesce(fields > len(names), F.lit(False))
     keep = [
