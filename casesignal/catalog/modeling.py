@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from casesignal.catalog import adapters as a
 from casesignal.catalog.features import v1, v2
-from casesignal.catalog.ranking import _picked
 from casesignal.catalog.registry import query
-from casesignal.catalog.safety import model_tables
 from casesignal.operators import aggregate, evaluate, labels, splits
+from casesignal.plans import signals as plan
 from casesignal.plans import train
 from casesignal.session import scratch_path, stored
 from casesignal.sources.tables import load_pipeline, save_model
@@ -90,12 +89,11 @@ def boosted_importances(spark, sf):
 
 
 def _aligned(spark, sf):
-    tables = model_tables(spark, sf)
-    x = labels.align_xy(
-        tables.x, _picked(spark, sf), tables.y, _ID, "drug_mapped", "picked_drug", ["PT"]
+    x = plan.aligned_features(
+        a.demo(spark, sf), a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf),
+        ordinal="ordinal", synonyms=a.SYNONYMS,
     )
-    pairs = stored(tables.y, "labels")
-    return stored(x, "aligned"), pairs
+    return stored(x, "aligned"), stored(labels.long_labels(a.reac(spark, sf), _ID, "PT"), "labels")
 
 
 _X_FEATURES = train.FeatureSet(

@@ -221,8 +221,10 @@ def stratified_holdout(spark, sf):
 
 @query(
     "stratified_folds",
-    f"""SELECT event_id, event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY {_H}, event_id) - 1) % 5
-    AS BIGINT) AS fold FROM events""",
+    f"""SELECT event_id, event_type, CAST(CAST(rn > (n + 4) // 5 AS INT) + CAST(rn > (2 * n + 4) // 5 AS INT)
+    + CAST(rn > (3 * n + 4) // 5 AS INT) + CAST(rn > (4 * n + 4) // 5 AS INT) AS BIGINT) AS fold FROM
+    (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_H}, event_id) AS rn,
+     count(*) OVER (PARTITION BY event_type) AS n FROM events)""",
 )
 def stratified_folds(spark, sf):
     rows = a.table(spark, sf, "events").select("event_id", "event_type")

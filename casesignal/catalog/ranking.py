@@ -6,6 +6,7 @@ from casesignal.catalog import adapters as a
 from casesignal.catalog.registry import query
 from casesignal.catalog.safety import model_tables
 from casesignal.operators import aggregate, cohort, labels, names
+from casesignal.plans import signals as plan
 
 _RANK = "CASE ROLE_COD WHEN 'PS' THEN 0 WHEN 'SS' THEN 1 WHEN 'C' THEN 2 ELSE 99 END"
 _PICK = f"""SELECT PRIMARYID, drug_mapped AS picked_drug FROM
@@ -60,6 +61,28 @@ def align_xy(spark, sf):
     )
 
 
+@query(
+    "aligned_features",
+    a.with_ctes(
+        "mapped merged dim",
+        """SELECT m.PRIMARYID, m.drug_mapped, m.AGE, m.AGE_COD, m.SEX, CAST(m.YEAR AS BIGINT) AS YEAR,
+        CAST(m.QTR AS BIGINT) AS QTR, CAST(ordinal AS BIGINT) AS ordinal, round(mol_weight, 6) AS mol_weight,
+        round(logP, 6) AS logP, round(TPSA, 6) AS TPSA, CAST(HBD AS BIGINT) AS HBD, CAST(HBA AS BIGINT) AS HBA,
+        ATC, mechanism_tags
+        FROM (SELECT DISTINCT PRIMARYID, drug_mapped, AGE, AGE_COD, SEX, YEAR, QTR FROM merged) m
+        JOIN picked p ON m.PRIMARYID = p.PRIMARYID AND m.drug_mapped = p.picked_drug
+        JOIN dim ON drug_name = m.drug_mapped""",
+        picked=_PICK,
+    ),
+)
+def aligned_features(spark, sf):
+    """The same rows with all features, made without pairing outcomes."""
+    return plan.aligned_features(
+        a.demo(spark, sf), a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf),
+        ordinal="ordinal", synonyms=a.SYNONYMS,
+    )
+
+
 @query(
     "top_labels",
     a.with_ctes(

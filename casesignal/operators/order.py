@@ -104,65 +104,56 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str
     return ranked.select(*by, value, rank.alias("rank"), F.col("n_total"))
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], hashed: str, then: str, out: str, prefix: int = 4) -> DataFrame:
-    """1-based rank inside each group by a hex hash, ties by ``then``.
-
-    Groups may be as large as the table. Hash prefixes cut each into
-    16^prefix parts of equal size.
-    """
-    by = list(by)
-    placed = df.withColumn("__part", F.substring(hashed, 1, prefix))
-    sizes = placed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        *[F.col(c).alias(f"__g_{c}") for c in by],
-        F.col("__part").alias("__at"),
-        F.coalesce(F.sum("__n").over(_before(*by).orderBy("__part")), F.lit(0)).alias("__off"),
-    )
-    inside = Window.partitionBy(*by, "__part").orderBy(hashed, then)
-    local = placed.withColumn("__rn", F.row_number().over(inside))
-    same = F.col("__part") == F.col("__at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-    return local.join(offsets, same).select(
-        *df.columns, (F.col("__off") + F.col("__rn")).alias(out)
-    )
-
-
-def hash_cut(df: DataFrame, by: Sequence[str], hashed: str, then: str, share: float, prefix: int = 4) -> DataFrame:
-    """Per group the (hash, id) at position ceil(share * n): its last taken row.
+def hash_cuts(
+    df: DataFrame, by: Sequence[str], hashed: str, then: str, shares: Sequence[float], prefix: int = 4
+) -> DataFrame:
+    """Per group the (hash, id) at each position ceil(share * n), as an array.
 
-    Counts by hash part find the part that holds the position; only its rows
-    are ranked, about 1 in 16^prefix. The part of each group is one row, so it
-    is broadcast after its size is checked.
+    Rows are taken in the order of a hex hash, ties by ``then``. Counts by hash
+    part (the first hex digits) find the parts that hold the positions; only
+    their rows are ranked, about one in 16^prefix per position. So a group may
+    be as large as the table, and no other row is moved.
     """
     by = list(by)
     placed = df.select(*by, hashed, then).withColumn("__part", F.substring(hashed, 1, prefix))
     sizes = placed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy(*by))
+    wanted = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.ceil(total * F.lit(float(s))).alias("at"))
+            for i, s in enumerate(shares)
+        ]
+    )
     located = (
         sizes.select(
             *by,
             "__part",
             "__n",
             F.coalesce(F.sum("__n").over(_before(*by).orderBy("__part")), F.lit(0)).alias("__off"),
-            F.ceil(F.sum("__n").over(Window.partitionBy(*by)) * F.lit(share)).alias("__want"),
+            wanted.alias("__wanted"),
         )
-        .where("__off < __want AND __want <= __off + __n")
+        .select(*by, "__part", "__n", "__off", F.explode("__wanted").alias("__want"))
+        .where("__off < __want.at AND __want.at <= __off + __n")
         .select(
             *[F.col(c).alias(f"__g_{c}") for c in by],
             F.col("__part").alias("__at"),
-            (F.col("__want") - F.col("__off")).alias("__pick"),
+            F.col("__want.i").alias("__i"),
+            (F.col("__want.at") - F.col("__off")).alias("__pick"),
         )
     )
+    # One row per group and position.
     located = check_size(located).side()
     same = F.col("__part") == F.col("__at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-    inside = Window.partitionBy(*by).orderBy(hashed, then)
+    inside = Window.partitionBy(*by, "__i").orderBy(hashed, then)
+    cut = F.struct(F.col(hashed).alias("h"), F.col(then).alias("i"))
     return (
         placed.join(located, same)
         .withColumn("__rn", F.row_number().over(inside))
         .where("__rn = __pick")
-        .select(*by, F.struct(F.col(hashed).alias("h"), F.col(then).alias("i")).alias("cut"))
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
     )
 
 

@@ -15,22 +15,20 @@ def contingency(pairs: DataFrame, case_id: str, exposure: str, outcome: str) ->
     """a, b, c, d per (exposure, outcome) over distinct cases.
 
     ``pairs`` is any table of case x exposure x outcome rows. N counts every
-    case of the table.
+    case of the table. The distinct rows are stored once and counted four ways.
     """
-    full = pairs.where(F.col(exposure).isNotNull() & F.col(outcome).isNotNull())
-    joint = (
-        full.select(exposure, outcome, case_id)
-        .distinct()
-        .groupBy(exposure, outcome)
-        .agg(F.count(case_id).alias("a"))
+    rows = stored(pairs.select(case_id, exposure, outcome).distinct(), "triples")
+    has_exposure, has_outcome = F.col(exposure).isNotNull(), F.col(outcome).isNotNull()
+    joint = rows.where(has_exposure & has_outcome).groupBy(exposure, outcome).agg(
+        F.count(case_id).alias("a")
     )
-    by_exposure = pairs.where(F.col(exposure).isNotNull()).groupBy(exposure).agg(
+    by_exposure = rows.where(has_exposure).groupBy(exposure).agg(
         F.count_distinct(case_id).alias("n_exposure")
     )
-    by_outcome = pairs.where(F.col(outcome).isNotNull()).groupBy(outcome).agg(
+    by_outcome = rows.where(has_outcome).groupBy(outcome).agg(
         F.count_distinct(case_id).alias("n_outcome")
     )
-    total = pairs.agg(F.count_distinct(case_id)).scalar()
+    total = rows.agg(F.count_distinct(case_id)).scalar()
     table = joint.join(by_exposure, exposure).join(by_outcome, outcome).withColumn("n", total)
     return _cells(table, exposure, outcome)
 

@@ -17,6 +17,23 @@ def holdout(df: DataFrame, id_col: str, seed: int | str, share: float = 0.2, out
     return df.withColumn(out, (hash_fraction(id_col, F.lit(seed)) < share).cast("int"))
 
 
+def _cuts_passed(df: DataFrame, id_col: str, strata: Sequence[str], seed: int | str, shares: Sequence[float], out: str) -> DataFrame:
+    """Number of the stratum's cut positions that lie before each row.
+
+    Only the hashes at the cuts are computed; the rows themselves are compared
+    with them in place and never shuffled.
+    """
+    hashed = df.withColumn("__h", hash_text(id_col, F.lit(seed)))
+    cuts = order.hash_cuts(hashed, strata, "__h", id_col, shares)
+    cuts = cuts.select(*[F.col(c).alias(f"__s_{c}") for c in strata], F.col("cuts").alias("__cuts"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    here = F.struct(F.col("__h").alias("h"), F.col(id_col).alias("i"))
+    passed = F.size(F.filter("__cuts", lambda cut: cut < here))
+    return hashed.join(check_size(cuts).side(), same, "left").select(*df.columns, passed.alias(out))
+
+
 def stratified_holdout(
     df: DataFrame,
     id_col: str,
@@ -25,22 +42,9 @@ def stratified_holdout(
     share: float = 0.2,
     out: str = "is_test",
 ) -> DataFrame:
-    """Exactly ceil(share * n) test rows in each stratum.
-
-    Only the hash at the cut is computed per stratum; the rows are then split
-    by comparing with it.
-    """
-    hashed = df.withColumn("__h", hash_text(id_col, F.lit(seed)))
-    cuts = order.hash_cut(hashed, strata, "__h", id_col, share)
-    cuts = cuts.select(*[F.col(c).alias(f"__s_{c}") for c in strata], F.col("cut").alias("__cut"))
-    cuts = check_size(cuts).side()
-    same = F.lit(True)
-    for c in strata:
-        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-    taken = F.struct(F.col("__h").alias("h"), F.col(id_col).alias("i")) <= F.col("__cut")
-    return hashed.join(cuts, same, "left").select(
-        *df.columns, F.coalesce(taken.cast("int"), F.lit(0)).alias(out)
-    )
+    """Exactly ceil(share * n) test rows in each stratum."""
+    passed = _cuts_passed(df, id_col, strata, seed, [share], out)
+    return passed.withColumn(out, 1 - F.col(out))
 
 
 def stratified_folds(
@@ -51,10 +55,8 @@ def stratified_folds(
     folds: int = 5,
     out: str = "fold",
 ) -> DataFrame:
-    """Fold 0 .. folds-1, dealt in hash order inside each stratum."""
-    hashed = df.withColumn("__h", hash_text(id_col, F.lit(seed)))
-    ranked = order.hash_rank(hashed, strata, "__h", id_col, "__rank")
-    return ranked.select(*df.columns, F.pmod(F.col("__rank") - 1, F.lit(folds)).cast("int").alias(out))
+    """Fold 0 .. folds-1: equal stretches of the hash order in each stratum."""
+    return _cuts_passed(df, id_col, strata, seed, [i / folds for i in range(1, folds)], out)
 
 
 def nested(df: DataFrame, id_col: str, seed: int | str, strata: Sequence[str] = (), share: float = 0.2) -> DataFrame:

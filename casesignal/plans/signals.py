@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casesignal.bounds import Dimension, check_size
 from casesignal.functions import scalars
-from casesignal.functions.vocab import SYNONYMS
+from casesignal.functions.vocab import ROLE_RANK, SYNONYMS
 from casesignal.operators import cohort, labels, names, relate, signals
 
 
@@ -71,7 +71,60 @@ def model_tables(
     )
     merged = relate.attach(pairs, dated, case_id)
     x = relate.attach_dimension(merged, dim, "drug_mapped", dim_name)
-    return ModelTables(x, labels.long_labels(pairs, case_id, outcome), merged)
+    # The outcomes of the mapped cases are those of the merged rows; no need to
+    # pair them with the exposures first.
+    y = relate.restrict_to(labels.long_labels(reac, case_id, outcome), mapped, case_id)
+    return ModelTables(x, y, merged)
+
+
+def aligned_features(
+    demo: DataFrame,
+    drug: DataFrame,
+    reac: DataFrame,
+    dim: DataFrame | Dimension,
+    case_id: str = "PRIMARYID",
+    name: str = "DRUGNAME",
+    role: str = "ROLE_COD",
+    outcome: str = "PT",
+    dim_name: str = "drug_name",
+    ordinal: str | None = None,
+    synonyms: Mapping[str, str] = SYNONYMS,
+    demo_columns: tuple[str, ...] = ("AGE", "AGE_COD", "SEX"),
+    report_date: str = "FDA_DT",
+) -> DataFrame:
+    """One feature row per labelled case: its picked exposure with
+    demographics and properties.
+
+    The rows that :func:`labels.align_xy` takes out of X, made without pairing
+    exposures and outcomes. A case counts if its picked exposure has one of the
+    roles of the model and the case has an outcome.
+    """
+    dim = check_size(dim)
+    resolved = names.resolve_names(
+        drug, name, dim, dim_name, ordinal, synonyms, keep_unmatched=False
+    )
+    in_model = F.max(F.col(role).isin(list(ROLE_RANK)).cast("int")) == 1
+    per_name = resolved.groupBy(case_id, "drug_mapped").agg(
+        F.min(cohort.role_rank(F.col(role))).alias("__rank"), in_model.alias("__in_model")
+    )
+    best = F.min(F.struct("__rank", "drug_mapped", "__in_model")).alias("__best")
+    picked = (
+        per_name.where(F.col(case_id).isNotNull())
+        .groupBy(case_id)
+        .agg(best)
+        .where("__best.__in_model")
+        .select(case_id, "__best.drug_mapped")
+    )
+    labelled = relate.restrict_to(picked, labels.long_labels(reac, case_id, outcome), case_id)
+    date = scalars.parse_date(F.col(report_date))
+    dated = demo.select(
+        case_id,
+        *demo_columns,
+        scalars.year_of(date).alias("YEAR"),
+        scalars.quarter_of(date).alias("QTR"),
+    )
+    joined = relate.attach(labelled, dated, case_id)
+    return relate.attach_dimension(joined, dim, "drug_mapped", dim_name)
 
 
 def safety_signals(

@@ -8,6 +8,7 @@ mixed headers would bind columns by position and swap them silently.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +21,7 @@ from casesignal.functions.text import null_if_na
 from casesignal.functions.vocab import NA_TOKENS
 
 _BAD = "_corrupt_record"
+_HEADER_READS = 16
 
 # The columns kept of each raw table; the first is the key.
 CASE_TABLES = {
@@ -88,11 +90,13 @@ def read_text_table(
     empty_rows = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
     empty_bad = spark.createDataFrame([], "file string, line string")
 
+    paths = list_files(spark, root, pattern)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in list_files(spark, root, pattern):
-        # Reads the first line of the file only.
-        header = tuple(_reader(spark, sep, encoding).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
+    # Each read takes the first line of one file only.
+    with ThreadPoolExecutor(_HEADER_READS) as pool:
+        headers = pool.map(lambda p: tuple(_reader(spark, sep, encoding).csv(p).columns), paths)
+        for path, header in zip(paths, headers):
+            by_header.setdefault(header, []).append(path)
 
     good, bad = [], []
     for header, paths in by_header.items():
