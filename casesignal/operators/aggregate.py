@@ -15,7 +15,10 @@ from casesignal.functions.text import count_tag
 
 
 def keyed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    """Rows with all keys present, as filters that reach the scan."""
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def rows_per(df: DataFrame, key: str, out: str = "n") -> DataFrame:
