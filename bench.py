@@ -13,26 +13,20 @@ from casesignal import catalog
 
 HEADLINE = (
     "disproportionality_signals",
-    "contingency",
     "merged_cases",
     "resolve_cascade",
-    "brand_map",
     "pick_primary",
     "context_features",
     "case_features_v1",
     "case_features_v2",
     "drug_metrics",
-    "rollup_generic",
-    "label_matrix_topk",
     "multi_vs_single",
     "roc_auc_per_label",
     "label_thresholds",
     "threshold_grid",
     "spearman",
     "median_of_columns",
-    "stratified_holdout",
     "stratified_folds",
-    "hashed_bits",
     "text_ingest",
 )
 

@@ -6,7 +6,7 @@ so one key with very many rows does not land in one task uncombined.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,35 @@ def property_stats(wanted: Mapping[str, Sequence[str]]) -> list[Column]:
     return [made[stat](col).alias(f"{col}_{stat}") for col, stats in wanted.items() for stat in stats]
 
 
+def weighted_stats(wanted: Mapping[str, Sequence[str]], weight: str) -> list[Column]:
+    """The same statistics for rows that each stand for ``weight`` equal ones.
+
+    ``std`` needs the group's mean on every row as ``__mean_<column>``
+    (:func:`weighted_mean` over a window); deviations from it are summed, so
+    nothing cancels out.
+    """
+    out = []
+    for col, stats in wanted.items():
+        value, n = F.col(col).cast("double"), F.sum(F.when(F.col(col).isNotNull(), F.col(weight)))
+        off = value - F.col(f"__mean_{col}")
+        made = {
+            "mean": lambda c=col: weighted_mean(c, weight, F.sum),
+            "max": lambda c=col: F.max(c),
+            "min": lambda c=col: F.min(c),
+            "sum": lambda v=value: sum_or_zero(v * F.col(weight)),
+            "std": lambda d=off, k=n: F.when(k > 1, F.sqrt(F.sum(d * d * F.col(weight)) / (k - 1))),
+        }
+        out += [made[stat]().alias(f"{col}_{stat}") for stat in stats]
+    return out
+
+
+def weighted_mean(col: str, weight: str, total: Callable[[Column], Column]) -> Column:
+    """Weighted mean with the given way to total (a group or a window)."""
+    value = F.col(col).cast("double")
+    n = total(F.when(F.col(col).isNotNull(), F.col(weight)))
+    return total(value * F.col(weight)) / n
+
+
 def distinct_by_category(
     df: DataFrame,
     key: str,
