@@ -174,11 +174,16 @@ def hashed_bits_of_text(spark, sf):
     )
 
 
-@query("bits_by_value")
+@query(
+    "bits_by_value",
+    f"""SELECT p_partkey, p_name, len(bits)::BIGINT AS n_bits FROM
+    (SELECT p_partkey, p_name, list_distinct([{_md5('substr(p_name, i, 3)')} % 256
+        for i in range(1, length(p_name) - 1)]) AS bits FROM part)""",
+)
 def bits_by_value(spark, sf):
     """Bits of a repeated text column, computed once per distinct value."""
     rows = a.table(spark, sf, "part").select("p_partkey", "p_name")
-    bits = prep.bits_by_value(rows, "p_name", nbits=256)
+    bits = prep.bits_by_value(rows, "p_name", nbits=256, hash_name="md5")
     return bits.select("p_partkey", "p_name", F.size("bits").alias("n_bits"))
 
 

@@ -192,10 +192,17 @@ def positive_weight(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg((neg / F.greatest(pos, F.lit(1))).alias("pos_weight"))
 
 
-def bits_by_value(df: DataFrame, column: str, out: str = "bits", nbits: int = 1024, n: int = 3) -> DataFrame:
+def bits_by_value(
+    df: DataFrame,
+    column: str,
+    out: str = "bits",
+    nbits: int = 1024,
+    n: int = 3,
+    hash_name: str = "xxhash64",
+) -> DataFrame:
     """Attach the hashed bits of a column, computed once per distinct value."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    bits = check_size(values.withColumn(out, hashed_bits(F.col(column), nbits, n))).side()
+    bits = check_size(values.withColumn(out, hashed_bits(F.col(column), nbits, n, hash_name))).side()
     none = F.array().cast(T.ArrayType(T.IntegerType()))
     return df.join(bits, column, "left").withColumn(out, F.coalesce(F.col(out), none))
 

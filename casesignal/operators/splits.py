@@ -23,6 +23,8 @@ def _cuts_passed(df: DataFrame, id_col: str, strata: Sequence[str], seed: int |
     Only the hashes at the cuts are computed; the rows themselves are compared
     with them in place and never shuffled.
     """
+    if not strata:
+        raise ValueError("name at least one stratum column, or use holdout")
     hashed = df.withColumn("__h", hash_text(id_col, F.lit(seed)))
     cuts = order.hash_cuts(hashed, strata, "__h", id_col, shares)
     cuts = cuts.select(*[F.col(c).alias(f"__s_{c}") for c in strata], F.col("cuts").alias("__cuts"))
