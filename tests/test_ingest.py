@@ -13,9 +13,9 @@ def raw(tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content.encode("latin-1"))
 
-    put("q1/DEMO25Q1.txt", 'primaryid$caseid$sex$age\n1$c1$F$30\n1$c1$F$30\n2$c2$NA$\n$c9$M$1\nNULL$c8$M$1\n3$c3$"M"$41$extra\n')
-    put("q2/deep/DEMO25Q2.TXT", 'SEX$PRIMARYID$FDA_DT$CASEID\nM$4$20250101$"c""4"\nF$5\n')
-    put("q2/DRUG25Q2.txt", "primaryid$drugname$role_cod\n1$caf\xe9$PS\n1$A\\B$SS\n")
+    put("q1/DEMO_first.txt", 'primaryid$caseid$sex$age\n1$c1$F$30\n1$c1$F$30\n2$c2$NA$\n$c9$M$1\nNULL$c8$M$1\n3$c3$"M"$41$extra\n')
+    put("q2/deep/DEMO_second.TXT", 'SEX$PRIMARYID$FDA_DT$CASEID\nM$4$20250101$"c""4"\nF$5\n')
+    put("q2/DRUG_second.txt", "primaryid$drugname$role_cod\n1$caf\xe9$PS\n1$A\\B$SS\n")
     return str(tmp_path)
 
 

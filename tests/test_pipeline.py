@@ -22,7 +22,7 @@ def write_raw(root):
             reac.append(f"{i}$Headache")
     (root / "q").mkdir(parents=True)
     for name, lines in (("DEMO", demo), ("DRUG", drug), ("REAC", reac)):
-        (root / "q" / f"{name}25Q2.txt").write_text("\n".join(lines) + "\n")
+        (root / "q" / f"{name}_all.txt").write_text("\n".join(lines) + "\n")
     (root / "compounds.csv").write_text(COMPOUNDS)
 
 
