@@ -59,3 +59,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     kept = F.col("line_dedup")
     return out.select("doc_id", kept["n_lines"].alias("n_lines"), kept["n_dropped"].alias("n_dropped"), F.sha2(kept["text"], 256).alias("kept_sha256"))
+
+
+def piece_model() -> bytes:
+    """The public BPE model with 32,000 pieces."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+@register("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it exceeds the context."""
+    from casesignal.llm.token_counts import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), piece_model(), limit=4096)
