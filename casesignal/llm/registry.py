@@ -75,3 +75,60 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casesignal.llm.token_counts import count_tokens
 
     return count_tokens(read(spark, sf_dir, "documents"), piece_model(), limit=4096)
+
+
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+         md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))) AS shuffle
+  FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY chunk, shuffle, doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM (SELECT *, ('0x' || shuffle[1:8])::BIGINT % (SELECT CASE WHEN count(*) // 20000 = 0 THEN 1 ELSE 1 << length(bin(count(*) // 20000)) END FROM sized) AS chunk FROM sized)
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source
+), levels AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per
+), sources AS (
+  SELECT source, source_size, total,
+         least((3 * source_size)::DOUBLE, coalesce(max(level) FILTER (WHERE level * weight <= 3 * source_size) OVER () * weight, 0.0)) AS target
+  FROM levels
+), edges AS (
+  SELECT source, ceil(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * 2147483648)::BIGINT AS edge,
+         row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sources WHERE target > 0
+), cuts AS (
+  SELECT source, coalesce(lag(edge) OVER (ORDER BY i), 0) AS lo,
+         CASE WHEN lead(edge) OVER (ORDER BY i) IS NULL THEN 2147483648 ELSE edge END AS hi FROM edges
+), n AS (
+  SELECT max(total)::BIGINT AS total, greatest(1, (max(total)::BIGINT + 262143) // 262144) AS block FROM sources
+), slots AS (
+  SELECT r AS slot, (r % 2147483648) * 1327217885 % 2147483648 AS point
+  FROM (SELECT unnest(range((SELECT (total + block - 1) // block FROM n))) AS r)
+), reach AS (
+  SELECT source, count(*) * (SELECT block FROM n) AS reach FROM slots JOIN cuts ON point >= lo AND point < hi GROUP BY source
+), covered AS (
+  SELECT s.source, source_size, target, coalesce(least(reach, 3 * source_size), 0) AS reach
+  FROM sources s LEFT JOIN reach r ON s.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size))
+        + greatest(0, least(size, reach - start - 2 * source_size)))::BIGINT AS taken
+FROM placed p JOIN covered c ON p.source IS NOT DISTINCT FROM c.source
+"""
+
+
+@register("op4_mixing", MIXING_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with weights 1, 2, 3 over the sources takes of each document."""
+    from casesignal.llm.mixing import mix
+
+    plan = mix(read(spark, sf_dir, "documents"))
+    per = plan.sources.select(F.col("source").alias("s"), "source_size", "target")
+    out = plan.taken.join(per, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
