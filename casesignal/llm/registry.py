@@ -132,3 +132,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = plan.sources.select(F.col("source").alias("s"), "source_size", "target")
     out = plan.taken.join(per, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    from casesignal.llm.simhash import near_dedup
+
+    return near_dedup(read(spark, sf_dir, "documents"), words=4, distance=4)
