@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casesignal.llm.common import arrow_map, texts_of, words_of
 from casesignal.llm.components import components
@@ -217,6 +218,6 @@ def keep_one(docs: DataFrame, *, words: int = 4, distance: int = 4, id_col: str
         return {"row": batch.column(0), "print": [f"{p:016x}" for p in prints]}
 
     rows = docs.where(F.col(id_col).isNull()).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = arrow_map(rows, of, rows.schema.add("print", "string"))
+    rows = arrow_map(rows, of, T.StructType([*rows.schema.fields, T.StructField("print", T.StringType())]))
     alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("print"))
     return named.unionByName(rows.join(alone, "print", "left_semi").select("row.*"))
