@@ -140,3 +140,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casesignal.llm.simhash import near_dedup
 
     return near_dedup(read(spark, sf_dir, "documents"), words=4, distance=4)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), c AS (
+  SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@register("op7_top_k", TOP_K_SQL)
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, by inner product."""
+    from casesignal.llm.topk import integer_vectors, top_k
+
+    vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
