@@ -31,7 +31,7 @@ def _plain(v):
 
 
 def _kind(name: str) -> str:
-    return {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}.get(name, name)
+    return {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(name, name)
 
 
 def _sort_key(row):
