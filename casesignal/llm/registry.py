@@ -165,3 +165,23 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@register("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels not held out."""
+    from casesignal.llm.quality_model import held_out, score, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = train(docs, read(spark, sf_dir, "labels"))
+    out = score(docs, trees).withColumnRenamed("quality_score", "score")
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@register("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether the rules keep it."""
+    from casesignal.llm.quality_rules import apply_rules
+
+    return apply_rules(read(spark, sf_dir, "documents")).drop("lang")
