@@ -185,3 +185,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casesignal.llm.quality_rules import apply_rules
 
     return apply_rules(read(spark, sf_dir, "documents")).drop("lang")
+
+
+@register("op3_suffix_tree")
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of those not held out."""
+    from casesignal.llm.suffix_tree import held_out, learn, score
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    tree, counts = learn(docs.where(~held_out(F.col("doc_id"))))
+    out = score(docs, tree, counts)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
