@@ -196,3 +196,14 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, counts = learn(docs.where(~held_out(F.col("doc_id"))))
     out = score(docs, tree, counts)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: known shapes, and strings that pass for random."""
+    from casesignal.llm.secrets import find_secrets, span_text
+
+    out = find_secrets(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = {f"n_{k}": (F.size("base") - F.size(F.array_remove(kinds, i))).cast("long") for i, k in enumerate(("assign", "access", "hex"))}
+    return out.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
