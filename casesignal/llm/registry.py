@@ -207,3 +207,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     count = {f"n_{k}": (F.size("base") - F.size(F.array_remove(kinds, i))).cast("long") for i, k in enumerate(("assign", "access", "hex"))}
     return out.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@register("op8_pieces")
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and the hash of what they decode to."""
+    from casesignal.llm.pieces import encode
+
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return out.select("doc_id", "pieces.n_tokens", "pieces.ids", "pieces.decoded_sha256")
