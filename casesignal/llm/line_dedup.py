@@ -213,9 +213,9 @@ class LineIndex:
             return self.spark.createDataFrame([], "key binary, n bigint")
         parts = [f"{self.path}/counts-{i}" for i in range(self._changes)]
         table = self.spark.read.schema("key binary, n bigint").parquet(*parts)
-        if self._changes == 1:
-            return table
-        return table.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
+        if self._changes > 1:
+            table = table.groupBy("key").agg(F.sum("n").alias("n"))
+        return table.where("n > 0")
 
     def hot(self) -> DataFrame:
         return self.counts().where(F.col("n") >= self.min_docs).select("key")

@@ -170,20 +170,21 @@ def retained(grams: DataFrame, top: Root, context_share: float = 1e-3) -> DataFr
     b = top.base
     two = grams.select(F.floor(F.col("gram") / b).alias("context"), (F.col("gram") % b).alias("next"), "n")
     one = two.groupBy((F.col("context") % b).alias("context"), "next").agg(F.sum("n").alias("n"))
-    none = one.groupBy("next").agg(F.sum("n").alias("n")).withColumn("context", F.lit(0))
     least = top.tokens * context_share
 
-    def tested(rows: DataFrame, lower: DataFrame, suffix: Column) -> DataFrame:
+    def tested(rows: DataFrame, below: DataFrame, on: list[str]) -> DataFrame:
+        """Contexts whose next symbols diverge from the shares ``q`` in ``below``."""
         totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
-        rows = rows.join(totals, "context").withColumn("suffix", suffix)
-        below = lower.join(lower.groupBy("context").agg(F.sum("n").alias("all")), "context")
-        below = below.select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("all")).alias("q"))
+        rows = rows.join(totals, "context").withColumn("suffix", F.col("context") % b)
         gain = F.col("n") * F.log((F.col("n") / F.col("total")) / F.col("q"))
-        found = rows.join(below, ["suffix", "next"]).groupBy("context").agg(F.sum(gain).alias("gain"), F.first("total").alias("t"), F.first("kinds").alias("k"))
+        found = rows.join(below, on).groupBy("context").agg(F.sum(gain).alias("gain"), F.first("total").alias("t"), F.first("kinds").alias("k"))
         return found.where(F.col("gain") > F.col("k") * F.log("t") / 2).select("context")
 
-    deep = tested(two, one, F.col("context") % b)
-    flat = tested(one, none, F.lit(0))
+    whole = one.groupBy("next").agg((F.sum("n") / max(1, top.tokens)).alias("q"))
+    sums = one.groupBy("context").agg(F.sum("n").alias("all"))
+    shares = one.join(sums, "context").select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("all")).alias("q"))
+    deep = tested(two, shares, ["suffix", "next"])
+    flat = tested(one, whole, ["next"])
     flat = flat.unionByName(deep.select((F.col("context") % b).alias("context"))).distinct()
     deep = two.join(deep, "context").withColumn("depth", F.lit(2))
     flat = one.join(flat, "context").withColumn("depth", F.lit(1))
