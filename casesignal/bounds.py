@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 INLINE_ROWS = 256
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 8 << 20
+# Rows fetched first; their width tells what the rest would take.
+_HEAD = 1_000
 
 
 @dataclass(frozen=True)
@@ -42,15 +45,20 @@ class Dimension:
 
 
 def check_size(df: DataFrame | Dimension, limit: int = BROADCAST_ROWS) -> Dimension:
-    """Fetch at most ``limit`` + 1 rows; keep them if the table fits.
+    """Fetch the table if it has at most ``limit`` rows and BROADCAST_BYTES.
 
-    A table that fits is computed once here and held as a local relation, so
-    later joins neither recompute it nor guess its size.
+    A table that fits is held as a local relation, so later joins neither
+    recompute it nor guess its size. The first rows are fetched alone: if rows
+    are so wide that the rest could exceed the bytes, no more is fetched.
     """
     if isinstance(df, Dimension):
         return df
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
+    head = df.limit(min(limit, _HEAD) + 1).toArrow()
+    if head.num_rows > _HEAD and limit > _HEAD:
+        if head.nbytes / head.num_rows * limit > BROADCAST_BYTES:
+            return Dimension(df, None)
+        head = df.limit(limit + 1).toArrow()
+    if head.num_rows > limit or head.nbytes > BROADCAST_BYTES:
         return Dimension(df, None)
     pinned = df.sparkSession.createDataFrame(head, schema=df.schema)
     return Dimension(pinned, tuple(Row(**r) for r in head.to_pylist()))

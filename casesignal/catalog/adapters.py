@@ -46,8 +46,13 @@ def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def demo_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some cases have a second report version, some are missing."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 23 <> 0")
+    """As demo_reports, but some cases are missing: one side of an outer join."""
+    return demo_reports(spark, sf_dir).where("PRIMARYID % 23 <> 0")
+
+
+def demo_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case; some have a second report version."""
+    o = table(spark, sf_dir, "orders")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
     age = _null_if(F.col("o_custkey") % 7 == 0, (F.col("o_custkey") % 230).cast("double"))
     first = o.select(
@@ -212,7 +217,8 @@ CTES = {
         CASE WHEN o_orderkey % 11 = 0 THEN strftime(o_orderdate, '%Y%m')
              ELSE strftime(o_orderdate, '%Y%m%d') END AS FDA_DT
         FROM orders""",
-    "demo_versions": """SELECT o_orderkey AS PRIMARYID, 1 AS VERSION,
+    "demo_versions": "SELECT * FROM demo_reports WHERE PRIMARYID % 23 <> 0",
+    "demo_reports": """SELECT o_orderkey AS PRIMARYID, 1 AS VERSION,
         CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey % 230 AS DOUBLE) END AS AGE_YR,
         CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'M' END AS SEX,
         CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_totalprice > 250000 AS INT) END AS SERIOUS,
@@ -220,11 +226,11 @@ CTES = {
         CASE WHEN o_orderkey % 19 <> 0 THEN 'C' || (o_custkey % 25) END AS COUNTRY,
         CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y%m%d') END AS EVENT_DT,
         CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y%m%d') END AS REPT_DT
-        FROM orders WHERE o_orderkey % 23 <> 0
+        FROM orders
         UNION ALL
         SELECT o_orderkey, 2, 50.0, 'M', CASE WHEN o_orderkey % 8 = 0 THEN 1 END,
         'LATE', 'X', '20200101', '20200102'
-        FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 4 = 0""",
+        FROM orders WHERE o_orderkey % 4 = 0""",
     "drug": """SELECT l_orderkey AS PRIMARYID,
         CASE WHEN l_partkey % 10 = 0 THEN upper(p_name)
              WHEN l_partkey % 10 = 1 THEN replace(p_name, ' ', '-')
@@ -287,6 +293,7 @@ CTES = {
 }
 
 _NEEDS = {
+    "demo_versions": ("demo_reports",),
     "named": ("drug",),
     "generic": ("named", "brands"),
     "keyed": ("drug",),

@@ -72,15 +72,15 @@ def property_stats(spark, sf):
 @query(
     "first_non_null",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, arg_min(SEX, VERSION) FILTER (WHERE SEX IS NOT NULL) AS SEX,
         arg_min(COUNTRY, VERSION) FILTER (WHERE COUNTRY IS NOT NULL) AS COUNTRY,
         arg_min(EVENT_DT, VERSION) FILTER (WHERE EVENT_DT IS NOT NULL) AS EVENT_DT
-        FROM demo_versions GROUP BY 1""",
+        FROM demo_reports GROUP BY 1""",
     ),
 )
 def first_non_null(spark, sf):
-    return a.demo_versions(spark, sf).groupBy("PRIMARYID").agg(
+    return a.demo_reports(spark, sf).groupBy("PRIMARYID").agg(
         *[aggregate.first_non_null(c, ["VERSION"]).alias(c) for c in ("SEX", "COUNTRY", "EVENT_DT")]
     )
 

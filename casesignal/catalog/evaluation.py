@@ -64,6 +64,38 @@ def pr_curve(spark, sf):
     return evaluate.pr_curve(a.scored(spark, sf), "y", "score", ["fold"])
 
 
+_NULL_GROUP = "SELECT CASE WHEN id % 6 <> 0 THEN fold END AS part, y, score FROM scored"
+
+
+@query(
+    "roc_auc_null_group",
+    a.with_ctes(
+        "scored",
+        f"SELECT CAST(part AS BIGINT) AS part, round({_AUC}, 6) AS auc FROM curve GROUP BY 1",
+        parts=_NULL_GROUP,
+        **_curve("parts", "part"),
+    ),
+)
+def roc_auc_null_group(spark, sf):
+    """A null label is a group like any other."""
+    rows = a.scored(spark, sf).withColumn("part", F.when(F.col("id") % 6 != 0, F.col("fold")))
+    return evaluate.roc_auc(rows, "y", "score", ["part"])
+
+
+@query(
+    "pr_curve_continuous",
+    a.with_ctes(
+        "scored_labels",
+        """SELECT label, round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision,
+        round(tp / nullif(p, 0), 6) AS recall FROM curve
+        UNION ALL SELECT DISTINCT label, CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE FROM curve""",
+        **_curve("scored_labels", "label"),
+    ),
+)
+def pr_curve_continuous(spark, sf):
+    """The curve where hardly any scores are equal."""
+    return evaluate.pr_curve(a.scored_labels(spark, sf), "y", "score", ["label"])
+
 
 @query(
     "best_threshold",
@@ -149,6 +181,22 @@ def apply_threshold(spark, sf):
     return _predicted(spark, sf).groupBy("label", "y", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "apply_threshold_missing",
+    a.with_ctes(
+        "scored_labels",
+        """SELECT label, CAST(y AS BIGINT) AS y,
+        CAST(score >= CASE WHEN label = 'purchase' THEN 0.5 ELSE 0.25 END AS BIGINT) AS pred, count(*) AS n
+        FROM scored_labels GROUP BY ALL""",
+    ),
+)
+def apply_threshold_missing(spark, sf):
+    """A label without a threshold takes 0.5; none of its rows is lost."""
+    rows = a.scored_labels(spark, sf)
+    limits = rows.where("label <> 'purchase'").groupBy("label").agg(F.lit(0.25).alias("threshold"))
+    return evaluate.apply_threshold(rows, "score", limits, ["label"]).groupBy("label", "y", "pred").agg(F.count("*").alias("n"))
+
+
 _CELLS = """SELECT {by} CAST(sum(CASE WHEN y = 0 AND score < 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
     CAST(sum(CASE WHEN y = 0 AND score >= 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
     CAST(sum(CASE WHEN y = 1 AND score < 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
@@ -326,9 +374,9 @@ def spearman_p_value(spark, sf):
 @query(
     "scatter_points",
     a.with_ctes(
-        "demo_versions",
-        "SELECT AGE_YR, CAST(SERIOUS AS BIGINT) AS SERIOUS, COUNTRY FROM demo_versions WHERE AGE_YR IS NOT NULL AND SERIOUS IS NOT NULL AND COUNTRY IS NOT NULL",
+        "demo_reports",
+        "SELECT AGE_YR, CAST(SERIOUS AS BIGINT) AS SERIOUS, COUNTRY FROM demo_reports WHERE AGE_YR IS NOT NULL AND SERIOUS IS NOT NULL AND COUNTRY IS NOT NULL",
     ),
 )
 def scatter_points(spark, sf):
-    return stats.points(a.demo_versions(spark, sf), "AGE_YR", "SERIOUS", "COUNTRY")
+    return stats.points(a.demo_reports(spark, sf), "AGE_YR", "SERIOUS", "COUNTRY")

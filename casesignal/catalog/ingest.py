@@ -53,10 +53,33 @@ def text_ingest(spark, sf):
     return text.read_text_table(spark, root, text.CASE_TABLES["DEMO"], "*.csv").rows
 
 
-@query("text_ingest_no_files", "SELECT CAST(NULL AS VARCHAR) AS PRIMARYID, CAST(NULL AS VARCHAR) AS PT FROM region WHERE false")
+@query(
+    "text_ingest_no_files",
+    "SELECT 'found' AS part, CAST(r_regionkey AS VARCHAR) AS PRIMARYID, r_name AS PT FROM region",
+)
 def text_ingest_no_files(spark, sf):
-    """No matching file gives an empty table with the wanted columns."""
-    return text.read_text_table(spark, sf, text.CASE_TABLES["REAC"], "no-such-file*").rows
+    """One pattern matches files written from region, one matches none: an empty table."""
+    root = scratch_path(spark, "regions")
+    rows = a.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("primaryid"), F.col("r_name").alias("pt"))
+    _write_text(rows, f"{root}/REAC")
+    read = lambda pattern: text.read_text_table(spark, root, text.CASE_TABLES["REAC"], pattern).rows
+    return read("*.csv").select(F.lit("found").alias("part"), "*").unionByName(read("no-such-file*").select(F.lit("none").alias("part"), "*"))
+
+
+@query(
+    "text_rejected",
+    "SELECT CAST(r_regionkey AS VARCHAR) AS first_field, count(*) AS n FROM region GROUP BY 1",
+)
+def text_rejected(spark, sf):
+    """Rows with more fields than their header are set aside with their text."""
+    root = scratch_path(spark, "rejected")
+    rows = a.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name")
+    head = spark.range(1).select(F.lit("primaryid$pt").alias("value"))
+    lines = F.explode(F.array(F.concat_ws("$", "k", "r_name"), F.concat_ws("$", "k", "r_name", F.lit("surplus"))))
+    body = rows.select(lines.alias("value"))
+    head.unionByName(body).coalesce(1).write.text(f"{root}/REAC")
+    bad = text.read_text_table(spark, root, text.CASE_TABLES["REAC"], "*.txt").rejected
+    return bad.groupBy(F.substring_index("line", "$", 1).alias("first_field")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """Training and scoring on the case tables.
 
-Model sizes are kept small here; the estimators' defaults are the full ones.
+The estimators' defaults are the published sizes. The queries take the folds,
+labels and depths as published and ROUNDS or TREES of them, so that a run over
+the test tables ends in a minute; pass other numbers to the plans for more.
 """
 
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from casesignal.plans import train
 from casesignal.session import scratch_path, stored
 from casesignal.sources.tables import load_pipeline, save_model
 
+ROUNDS, LABEL_ROUNDS, TREES, LABEL_TREES = 10, 2, 20, 4
+
 _ID, _Y = "PRIMARYID", "y_multiADR"
 _NOT_FEATURES = (_ID, _Y, "ADR_count")
 
@@ -33,22 +37,20 @@ def _fit_v1(spark, sf, estimator):
 @query("logistic_scores")
 def logistic_scores(spark, sf):
     """Balanced logistic regression, scores of the held-out cases."""
-    rows = a.demo(spark, sf).count()
-    _, scored, _ = _fit_v1(spark, sf, train.logistic(rows, max_iter=50))
+    _, scored, _ = _fit_v1(spark, sf, train.logistic())
     return evaluate.apply_threshold(scored, "score", 0.5)
 
 
 @query("logistic_coefficients")
 def logistic_coefficients(spark, sf):
-    rows = a.demo(spark, sf).count()
-    model, _, done = _fit_v1(spark, sf, train.logistic(rows, max_iter=50))
+    model, _, done = _fit_v1(spark, sf, train.logistic())
     return train.importance_table(spark, train.coefficients(model.stages[-1], done.names), "lr_coef")
 
 
 @query("forest_report")
 def forest_report(spark, sf):
     """Random forest, classification report on the held-out cases."""
-    _, scored, _ = _fit_v1(spark, sf, train.forest(trees=10, depth=6))
+    _, scored, _ = _fit_v1(spark, sf, train.forest(trees=TREES, depth=10))
     predicted = evaluate.apply_threshold(scored, "score", 0.5)
     return evaluate.classification_report(evaluate.confusion(predicted, _Y, "pred"))
 
@@ -56,7 +58,7 @@ def forest_report(spark, sf):
 @query("pipeline_roundtrip")
 def pipeline_roundtrip(spark, sf):
     """Saved and loaded pipeline; it scores raw case rows."""
-    model, _, _ = _fit_v1(spark, sf, train.logistic(1000, max_iter=20))
+    model, _, _ = _fit_v1(spark, sf, train.logistic())
     path = scratch_path(spark, "model")
     save_model(model, path)
     return train.scores(load_pipeline(path), v1(spark, sf), [_ID])
@@ -64,10 +66,10 @@ def pipeline_roundtrip(spark, sf):
 
 def _cross_validated(spark, sf):
     cases = stored(v2(spark, sf), "cases")
-    folded = splits.stratified_folds(cases, _ID, [_Y], 42, folds=3)
+    folded = splits.stratified_folds(cases, _ID, [_Y], 42, folds=5)
     features = train.choose_features(folded, (*_NOT_FEATURES, "fold"))
     return train.cross_validate(
-        folded, _ID, _Y, "fold", 3, features, train.boosted(rounds=5, depth=4)
+        folded, _ID, _Y, "fold", 5, features, train.boosted(rounds=ROUNDS)
     )
 
 
@@ -93,7 +95,10 @@ def _aligned(spark, sf):
         a.demo(spark, sf), a.drug(spark, sf), a.reac(spark, sf), a.dim(spark, sf),
         ordinal="ordinal", synonyms=a.SYNONYMS,
     )
-    return stored(x, "aligned"), stored(labels.long_labels(a.reac(spark, sf), _ID, "PT"), "labels")
+    x = stored(x, "aligned")
+    # Labels are counted on the cases that have features.
+    pairs = labels.long_labels(a.reac(spark, sf), _ID, "PT").join(x.select(_ID).distinct(), _ID, "left_semi")
+    return x, stored(pairs, "labels")
 
 
 _X_FEATURES = train.FeatureSet(
@@ -106,9 +111,9 @@ def boosted_per_label(spark, sf):
     """One boosted model per top label, thresholds from the grid."""
     x, pairs = _aligned(spark, sf)
     parts = splits.nested(x, _ID, 42)
-    names = labels.label_names(pairs, _ID, "PT", 2)
+    names = labels.label_names(pairs, _ID, "PT", 50)
     out = train.train_per_label(
-        parts, pairs, _ID, "PT", names, "part", _X_FEATURES, train.boosted(rounds=3, depth=3),
+        parts, pairs, _ID, "PT", names, "part", _X_FEATURES, train.boosted(rounds=LABEL_ROUNDS),
         scheme="positive", tuning="grid", scaling="standard", encode="index",
     )
     return out.predictions
@@ -120,12 +125,12 @@ def forest_per_label(spark, sf):
     from casesignal.operators import prep
 
     x, pairs = _aligned(spark, sf)
-    with_bits = prep.bits_by_value(x, "drug_mapped", nbits=64)
+    with_bits = prep.bits_by_value(x, "drug_mapped", nbits=1024)
     parts = splits.nested(with_bits, _ID, 42)
-    names = labels.label_names(pairs, _ID, "PT", 2)
-    features = train.FeatureSet(_X_FEATURES.numeric, (), "bits", 64)
+    names = labels.label_names(pairs, _ID, "PT", 30)
+    features = train.FeatureSet(_X_FEATURES.numeric, (), "bits", 1024)
     out = train.train_per_label(
-        parts, pairs, _ID, "PT", names, "part", features, train.forest(trees=5, min_leaf=1, depth=5),
+        parts, pairs, _ID, "PT", names, "part", features, train.forest(trees=LABEL_TREES, min_leaf=1, depth=5),
         tuning="stepped", refit=True, fill="zero",
     )
     return evaluate.micro_macro_f1(out.predictions, "y", "pred", "label")
@@ -135,10 +140,10 @@ def forest_per_label(spark, sf):
 def forest_multi_vs_single(spark, sf):
     """Tuned on validation rows, refitted, binary metrics of the test rows."""
     x, pairs = _aligned(spark, sf)
-    y = labels.multi_vs_single(pairs, _ID, "PT", 10).select(_ID, "y")
+    y = labels.multi_vs_single(pairs, _ID, "PT", 30).select(_ID, "y")
     parts = splits.nested(x.join(y, _ID), _ID, 42, ["y"])
     tuned = train.tune_and_refit(
-        parts, _ID, "y", "part", _X_FEATURES, train.forest(trees=5, min_leaf=1, depth=5),
+        parts, _ID, "y", "part", _X_FEATURES, train.forest(trees=TREES, min_leaf=1, depth=10),
         fill="zero", encode="index",
     )
     return evaluate.binary_metrics(tuned.predictions, "y", "pred").withColumn(
@@ -148,6 +153,6 @@ def forest_multi_vs_single(spark, sf):
 
 @query("forest_top_importances")
 def forest_top_importances(spark, sf):
-    model, _, done = _fit_v1(spark, sf, train.forest(trees=5, depth=5))
+    model, _, done = _fit_v1(spark, sf, train.forest(trees=TREES, depth=10))
     table = train.importance_table(spark, train.importances(model.stages[-1], done.names))
     return aggregate.top_rows(table, 30, ["importance"], ["feature"])

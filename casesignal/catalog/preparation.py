@@ -12,28 +12,39 @@ from casesignal.sources.tables import cached_table
 
 
 def _people(spark, sf):
-    return a.demo_versions(spark, sf).withColumn("NOTHING", F.lit(None).cast("double"))
+    return a.demo_reports(spark, sf).withColumn("NOTHING", F.lit(None).cast("double"))
 
 
 @query(
     "feature_profile",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT 'AGE_YR' AS "column", count(AGE_YR) AS non_null, CAST(count(DISTINCT AGE_YR) > 1 AS BIGINT) AS varied,
-            0::BIGINT AS "binary" FROM demo_versions
-        UNION ALL SELECT 'SERIOUS', count(SERIOUS), CAST(count(DISTINCT SERIOUS) > 1 AS BIGINT), 1 FROM demo_versions
-        UNION ALL SELECT 'SEX', count(SEX), CAST(count(DISTINCT SEX) > 1 AS BIGINT), 0 FROM demo_versions
-        UNION ALL SELECT 'NOTHING', 0, 0, 0""",
+            0::BIGINT AS "binary" FROM demo_reports
+        UNION ALL SELECT 'SERIOUS', count(SERIOUS), CAST(count(DISTINCT SERIOUS) > 1 AS BIGINT), 1 FROM demo_reports
+        UNION ALL SELECT 'SEX', count(SEX), CAST(count(DISTINCT SEX) > 1 AS BIGINT), 0 FROM demo_reports
+        UNION ALL SELECT 'NOTHING', 0, 0, 0
+        UNION ALL SELECT 'ODD', count(*), 1, 0 FROM demo_reports""",
     ),
 )
 def feature_profile(spark, sf):
     """Which features are all-null, one-valued or 0/1."""
-    return prep.profile(_people(spark, sf), ["AGE_YR", "SERIOUS", "SEX", "NOTHING"])
+    key = F.col("PRIMARYID")
+    odd = F.when(key % 3 == 0, F.lit(float("nan"))).when(key % 3 == 1, 1e30).otherwise(1.0)
+    return prep.profile(_people(spark, sf).withColumn("ODD", odd), ["AGE_YR", "SERIOUS", "SEX", "NOTHING", "ODD"])
 
 
 @query(
     "usable_features",
-    "SELECT 'AGE_YR' AS feature, 'numeric' AS kind UNION ALL SELECT 'SERIOUS', 'numeric' UNION ALL SELECT 'SEX', 'categorical'",
+    a.with_ctes(
+        "demo_reports",
+        """SELECT feature, kind FROM (
+            SELECT 'AGE_YR' AS feature, 'numeric' AS kind, count(AGE_YR) > 0 AS ok FROM demo_reports
+            UNION ALL SELECT 'SERIOUS', 'numeric', count(SERIOUS) > 0 FROM demo_reports
+            UNION ALL SELECT 'NOTHING', 'numeric', count(NULL) > 0 FROM demo_reports
+            UNION ALL SELECT 'SEX', 'categorical', count(DISTINCT SEX) > 1 FROM demo_reports
+            UNION ALL SELECT 'ONE', 'categorical', count(DISTINCT 'x') > 1 FROM demo_reports) WHERE ok""",
+    ),
 )
 def usable_features(spark, sf):
     """All-null numbers and one-valued categories are dropped."""
@@ -46,14 +57,14 @@ def usable_features(spark, sf):
 @query(
     "impute_median",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION, round(coalesce(AGE_YR, m.age), 6) AS AGE_YR,
-        round(coalesce(CAST(SERIOUS AS DOUBLE), m.mid), 6) AS SERIOUS FROM demo_versions,
-        (SELECT median(AGE_YR) AS age, median(SERIOUS) AS mid FROM demo_versions) m""",
+        round(coalesce(CAST(SERIOUS AS DOUBLE), m.mid), 6) AS SERIOUS FROM demo_reports,
+        (SELECT median(AGE_YR) AS age, median(SERIOUS) AS mid FROM demo_reports) m""",
     ),
 )
 def impute_median(spark, sf):
-    rows = a.demo_versions(spark, sf).select("PRIMARYID", "VERSION", "AGE_YR", "SERIOUS")
+    rows = a.demo_reports(spark, sf).select("PRIMARYID", "VERSION", "AGE_YR", "SERIOUS")
     return prep.impute_median(rows, ["AGE_YR", "SERIOUS"])
 
 
@@ -72,29 +83,29 @@ def median_of_columns(spark, sf):
 @query(
     "impute_mode",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION,
-        coalesce(SEX, (SELECT SEX FROM demo_versions WHERE SEX IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, SEX LIMIT 1)) AS SEX,
-        coalesce(COUNTRY, (SELECT COUNTRY FROM demo_versions WHERE COUNTRY IS NOT NULL
-            GROUP BY 1 ORDER BY count(*) DESC, COUNTRY LIMIT 1)) AS COUNTRY FROM demo_versions""",
+        coalesce(SEX, (SELECT SEX FROM demo_reports WHERE SEX IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, SEX LIMIT 1)) AS SEX,
+        coalesce(COUNTRY, (SELECT COUNTRY FROM demo_reports WHERE COUNTRY IS NOT NULL
+            GROUP BY 1 ORDER BY count(*) DESC, COUNTRY LIMIT 1)) AS COUNTRY FROM demo_reports""",
     ),
 )
 def impute_mode(spark, sf):
     """Commonest value, the smallest among equals."""
-    rows = a.demo_versions(spark, sf).select("PRIMARYID", "VERSION", "SEX", "COUNTRY")
+    rows = a.demo_reports(spark, sf).select("PRIMARYID", "VERSION", "SEX", "COUNTRY")
     return prep.impute(rows, prep.as_dict(prep.most_frequent(rows, ["SEX", "COUNTRY"])))
 
 
 @query(
     "fill_defaults",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION, CAST(coalesce(SERIOUS, 0) AS BIGINT) AS SERIOUS,
-        coalesce(COUNTRY, 'UNK') AS COUNTRY FROM demo_versions""",
+        coalesce(COUNTRY, 'UNK') AS COUNTRY FROM demo_reports""",
     ),
 )
 def fill_defaults(spark, sf):
-    rows = a.demo_versions(spark, sf).select("PRIMARYID", "VERSION", "SERIOUS", "COUNTRY")
+    rows = a.demo_reports(spark, sf).select("PRIMARYID", "VERSION", "SERIOUS", "COUNTRY")
     return fill_nulls(rows, {"SERIOUS": 0, "COUNTRY": "UNK"})
 
 

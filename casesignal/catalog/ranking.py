@@ -31,14 +31,14 @@ def pick_primary(spark, sf):
 @query(
     "first_per_key",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION, SEX, COUNTRY FROM
-        (SELECT *, row_number() OVER (PARTITION BY PRIMARYID ORDER BY VERSION) AS rn FROM demo_versions)
+        (SELECT *, row_number() OVER (PARTITION BY PRIMARYID ORDER BY VERSION) AS rn FROM demo_reports)
         WHERE rn = 1""",
     ),
 )
 def first_per_key(spark, sf):
-    rows = a.demo_versions(spark, sf).select("PRIMARYID", "VERSION", "SEX", "COUNTRY")
+    rows = a.demo_reports(spark, sf).select("PRIMARYID", "VERSION", "SEX", "COUNTRY")
     return aggregate.first_per_key(rows, "PRIMARYID", ["VERSION"])
 
 

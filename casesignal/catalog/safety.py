@@ -100,13 +100,13 @@ def outer_merge(spark, sf):
 @query(
     "duplicate_reports",
     a.with_ctes(
-        "demo_versions",
-        "SELECT PRIMARYID, count(*) AS n_rows FROM demo_versions GROUP BY 1 HAVING count(*) > 1",
+        "demo_reports",
+        "SELECT PRIMARYID, count(*) AS n_rows FROM demo_reports GROUP BY 1 HAVING count(*) > 1",
     ),
 )
 def duplicate_reports(spark, sf):
     """Keys that a left join would multiply."""
-    return relate.duplicate_keys(a.demo_versions(spark, sf), "PRIMARYID")
+    return relate.duplicate_keys(a.demo_reports(spark, sf), "PRIMARYID")
 
 
 _COUNTS = {

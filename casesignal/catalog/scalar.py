@@ -31,17 +31,17 @@ def date_parts(spark, sf):
 @query(
     "age_bins",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION,
         CASE WHEN AGE_YR > -1 AND AGE_YR <= 39 THEN 'age_<40' WHEN AGE_YR > 39 AND AGE_YR <= 64 THEN 'age_40_64'
              WHEN AGE_YR > 64 AND AGE_YR <= 200 THEN 'age_65p' END AS wide,
         CASE WHEN AGE_YR > -1 AND AGE_YR <= 18 THEN '<18' WHEN AGE_YR > 18 AND AGE_YR <= 40 THEN '18-40'
              WHEN AGE_YR > 40 AND AGE_YR <= 65 THEN '40-65' WHEN AGE_YR > 65 AND AGE_YR <= 120 THEN '65+' END AS fine
-        FROM demo_versions""",
+        FROM demo_reports""",
     ),
 )
 def age_bins(spark, sf):
-    return a.demo_versions(spark, sf).select(
+    return a.demo_reports(spark, sf).select(
         "PRIMARYID",
         "VERSION",
         scalars.cut(F.col("AGE_YR"), *CONTEXT_AGE_BINS).alias("wide"),
@@ -52,16 +52,16 @@ def age_bins(spark, sf):
 @query(
     "value_maps",
     a.with_ctes(
-        "demo_versions",
+        "demo_reports",
         """SELECT PRIMARYID, CAST(VERSION AS BIGINT) AS VERSION, coalesce(SEX, 'UNK') AS sex,
         CAST(AGE_YR IS NULL AS BIGINT) AS age_missing, CAST(coalesce(SERIOUS, 0) AS BIGINT) AS serious,
         coalesce(I_F_COD, 'UNK') AS reporter, coalesce(EVENT_DT, REPT_DT) AS any_date
-        FROM demo_versions""",
+        FROM demo_reports""",
     ),
 )
 def value_maps(spark, sf):
     """Mapped values, missing indicators, defaults and fallbacks."""
-    return a.demo_versions(spark, sf).select(
+    return a.demo_reports(spark, sf).select(
         "PRIMARYID",
         "VERSION",
         scalars.known_sex(F.col("SEX")).alias("sex"),

@@ -8,6 +8,7 @@ anything is ordered.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -180,17 +181,24 @@ def grid_threshold(
 
 
 def apply_threshold(
-    df: DataFrame, score: str, threshold: float | DataFrame, by: Sequence[str] = (), out: str = "pred"
+    df: DataFrame, score: str, threshold: float | DataFrame, by: Sequence[str] = (), out: str = "pred",
+    default: float = 0.5,
 ) -> DataFrame:
-    """1 where the score reaches the threshold (one for all, or one per group)."""
+    """1 where the score reaches the threshold (one for all, or one per group).
+
+    A group without a threshold takes ``default``. A null in ``by`` is a group
+    like any other.
+    """
     if not isinstance(threshold, DataFrame):
         return df.withColumn(out, (F.col(score) >= F.lit(float(threshold))).cast("int"))
-    table = threshold.select(*by, F.col("threshold").alias("__threshold"))
     if not by:
-        limit = table.scalar()
+        limit = F.coalesce(threshold.select("threshold").scalar(), F.lit(default))
         return df.withColumn(out, (F.col(score) >= limit).cast("int"))
-    joined = df.join(check_size(table).side(), list(by))
-    return joined.withColumn(out, (F.col(score) >= F.col("__threshold")).cast("int")).drop("__threshold")
+    table = threshold.select(*[F.col(c).alias(f"__g_{c}") for c in by], F.col("threshold").alias("__threshold"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by])
+    joined = df.join(check_size(table).side(), same, "left")
+    limit = F.coalesce("__threshold", F.lit(default))
+    return joined.select(*df.columns, (F.col(score) >= limit).cast("int").alias(out))
 
 
 def _cell(y: str, pred: str, yv: int, pv: int) -> Column:
@@ -270,11 +278,14 @@ def micro_macro_auc(df: DataFrame, y: str, score: str, label: str) -> DataFrame:
     """AUC of all rows pooled, and the mean AUC of the labels.
 
     The mean is null if a label has one class only, as it is undefined then.
+    The pooled counts are sums of the labels' counts: the rows are read once.
     """
-    pooled = roc_auc(df, y, score).select("auc").scalar()
-    per = roc_auc(df, y, score, [label])
-    mean = F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc"))
-    return per.agg(mean.alias("macro_auc")).select(pooled.alias("micro_auc"), "macro_auc")
+    table = score_counts(df, y, score, [label])
+    per = table.groupBy(label).agg(_auc().alias("auc"))
+    mean = per.agg(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc")).alias("macro_auc"))
+    pooled = table.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pooled = running_totals(pooled, "score", ["pos", "neg"]).agg(_auc().alias("auc")).scalar()
+    return mean.select(pooled.alias("micro_auc"), "macro_auc")
 
 
 def mean_auc(df: DataFrame, y: str, score: str, label: str) -> DataFrame:
@@ -284,9 +295,10 @@ def mean_auc(df: DataFrame, y: str, score: str, label: str) -> DataFrame:
 
 
 def fold_metrics(df: DataFrame, y: str, score: str, fold: str) -> DataFrame:
-    """AUC, average precision, best F1 and its threshold per fold."""
-    areas = auc_and_ap(df, y, score, [fold])
-    best = best_threshold(df, y, score, [fold])
-    return areas.join(best, fold)
-
-
+    """AUC, average precision, best F1 and its threshold per fold, from one score table."""
+    return score_counts(df, y, score, [fold]).groupBy(fold).agg(
+        _auc().alias("auc"),
+        _ap().alias("ap"),
+        F.max_by("score", _lowest_best()).alias("threshold"),
+        F.max(_f1()).alias("f1"),
+    )

@@ -14,6 +14,10 @@ from casesignal.functions.vocab import BRAND_TO_GENERIC, SYNONYMS
 from casesignal.sources.contract import resolve_column
 
 
+# Place of a null ordinal.
+_FIRST = -(1 << 63)
+
+
 def add_std_name(
     df: DataFrame,
     candidates: Sequence[str],
@@ -80,17 +84,18 @@ def resolve_names(
     each row: no shuffle and no join. A larger one is matched on the distinct
     names by a single equi-join on whole key, token and substrings.
 
+    Null and empty dimension names are no names; a null ordinal comes first,
+    equal ordinals go by name.
+
     ``keep_unmatched=False`` drops rows without a match right here. A filter
     set on the result instead would be pushed below the expression, which then
     runs twice.
     """
     checked = check_size(dim)
     if checked.small and len(checked.rows) <= inline_rows:
-        rows = [r for r in checked.rows if r[dim_name] is not None]
-        if ordinal:
-            rows = sorted(rows, key=lambda r: r[ordinal])
-        else:
-            rows = sorted(rows, key=lambda r: r[dim_name].upper())
+        rows = [r for r in checked.rows if r[dim_name]]
+        place = (lambda r: _FIRST if r[ordinal] is None else int(r[ordinal])) if ordinal else lambda r: 0
+        rows = sorted(rows, key=lambda r: (place(r), r[dim_name].upper(), r[dim_name]))
         keys = {r[dim_name].upper(): r[dim_name] for r in rows}
         return _resolve_by_expression(df, name, keys, synonyms, out, keep_unmatched)
     mapped = _resolve_by_join(df, name, checked, dim_name, ordinal, synonyms, out)
@@ -140,7 +145,7 @@ def _resolve_by_join(
 ) -> DataFrame:
     spark = df.sparkSession
     base = dim.df.where(F.col(dim_name).isNotNull() & (F.col(dim_name) != ""))
-    order = F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long")
+    order = F.coalesce(F.col(ordinal).cast("long"), F.lit(_FIRST)) if ordinal else F.lit(0).cast("long")
     vocab = (
         base.groupBy(F.upper(dim_name).alias("__cand"))
         .agg(

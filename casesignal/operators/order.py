@@ -2,69 +2,64 @@
 
 A window without a (fine) partition key sends all rows to one task. Here the
 rows are spread over buckets of the ordering value: each bucket is summed on
-its own, and the few bucket totals give every bucket its offset.
+its own, and the few bucket totals give every bucket its offset. The number of
+buckets follows from the number of rows; every size takes the same path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casesignal.bounds import check_size
 from casesignal.session import stored
 
-BUCKETS = 256
-# Up to this many distinct values one window per group is enough.
-ONE_WINDOW_ROWS = 200_000
+# Rows of a bucket, about, and sampled values for each bucket edge.
+BUCKET_ROWS = 20_000
+_SAMPLED = 16
 
 
 def _before(*by: str | Column):
     return Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _edges(base: DataFrame, value: str, buckets: int, rows: int) -> list[float]:
+    """Bucket edges from a sample by hash; only the balance depends on them.
+
+    About ``_SAMPLED`` values per bucket reach the driver.
+    """
+    if buckets < 2:
+        return []
+    step = max(1, rows // (buckets * _SAMPLED))
+    v = F.col(value).cast("double")
+    kept = base.where((F.pmod(F.xxhash64(v), F.lit(step)) == 0) & v.isNotNull() & ~F.isnan(v))
+    sample = sorted({r[0] for r in kept.select(v).collect()})
+    return [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
+
+
 def running_totals(
     table: DataFrame,
     value: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
     previous: str | None = None,
-    buckets: int = BUCKETS,
-    one_window_rows: int = ONE_WINDOW_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_total`` per group.
 
     ``table`` has one row per (group, value). With ``previous``, a column of
-    that name holds the next smaller value of the group.
+    that name holds the next smaller value of the group. A null in ``by`` is a
+    group like any other. A null value comes before all others, NaN after.
     """
     by = list(by)
     base = stored(table, "values")
-    if base.count() > one_window_rows:
-        return _bucketed_totals(base, value, sums, by, previous, buckets)
-    earlier, whole = _before(*by).orderBy(value), Window.partitionBy(*by)
-    return base.select(
-        "*",
-        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums],
-        *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
-        *([] if previous is None else [F.max(value).over(earlier).alias(previous)]),
-    )
-
-
-def _bucketed_totals(
-    base: DataFrame, value: str, sums: Sequence[str], by: list[str], previous: str | None, buckets: int
-) -> DataFrame:
-    """Two levels: sums inside each bucket plus the offset of the bucket.
-
-    The bucket edges are quantiles of the values, so buckets hold about the
-    same number of rows; only the balance depends on their accuracy, never the
-    result.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(base.approxQuantile(value, shares, 0.1 / buckets)))
-    splits = [float("-inf"), *edges, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol=value, outputCol="__bucket").transform(base)
+    rows = base.count()
+    buckets = max(1, -(-rows // bucket_rows))
+    edges = F.lit(_edges(base, value, buckets, rows)).cast("array<double>")
+    # Edges at or below the value; found by halves, so many edges cost little.
+    placed = base.withColumn("__bucket", _edges_below(edges, F.col(value).cast("double"), buckets))
 
     totals = placed.groupBy(*by, "__bucket").agg(
         *[F.sum(s).alias(s) for s in sums], F.max(value).alias("__top")
@@ -85,7 +80,7 @@ def _bucketed_totals(
     )
     same = F.col("__bucket") == F.col("__at")
     for c in by:
-        same = same & (F.col(c) == F.col(f"__g_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
     extra = [] if previous is None else [F.coalesce("__in_top", "__off_top").alias(previous)]
     return local.join(offsets, same).select(
         *base.columns,
@@ -95,6 +90,26 @@ def _bucketed_totals(
     )
 
 
+def _edges_below(edges: Column, value: Column, buckets: int) -> Column:
+    """Number of edges at or below the value; -1 for null, all for NaN."""
+    if buckets < 2:
+        found = F.lit(0)
+    else:
+        steps = F.sequence(F.lit(1), F.lit(max(1, buckets.bit_length())))
+        start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            below = (acc["lo"] < acc["hi"]) & (F.get(edges, mid) <= value)
+            return F.struct(
+                F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                F.when(below, acc["hi"]).otherwise(F.least(mid, acc["hi"])).alias("hi"),
+            )
+
+        found = F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+    return F.when(value.isNull(), -1).otherwise(found)
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(group, value, rank): rank from 1, ties share their mean rank."""
     n = F.sum(weight) if weight else F.count(F.lit(1))

@@ -36,11 +36,11 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     ``varied``: at least two distinct values, seen as min <> max, so nothing
     needs a distinct count. ``binary``: every value is 0 or 1 after cutting off
-    its fraction.
+    its fraction; NaN, infinities and numbers beyond a long are neither.
     """
 
     def entry(c: str) -> Column:
-        whole = F.col(c).try_cast("double").cast("long")
+        whole = F.col(c).try_cast("double").try_cast("long")
         zero_one = F.coalesce(whole.isin(0, 1), F.lit(False))
         return F.struct(
             F.lit(c).alias("column"),

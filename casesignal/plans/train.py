@@ -68,6 +68,8 @@ class Preparation:
 
     stages: list
     names: list[str] = field(default_factory=list)
+    # Most values of an indexed category, unseen ones included.
+    categories: int = 0
 
     def pipeline(self) -> PipelineModel:
         return PipelineModel(self.stages)
@@ -132,7 +134,7 @@ def fit_preparation(
         inputs.append("__bits")
         names += [f"FP{i}" for i in range(features.nbits)]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    return Preparation(stages, names)
+    return Preparation(stages, names, max([0, *(len(i.labels) + 1 for i in indexers)]))
 
 
 def prepared(df: DataFrame, preparation: Preparation, keep: Sequence[str]) -> DataFrame:
@@ -143,15 +145,15 @@ def prepared(df: DataFrame, preparation: Preparation, keep: Sequence[str]) -> Da
 # Estimators. Defaults are the published settings of each model.
 
 
-def logistic(rows: int, c: float = 1.0, max_iter: int = 2000) -> LogisticRegression:
+def logistic(c: float = 1.0, max_iter: int = 2000) -> LogisticRegression:
     """L2 logistic regression with penalty 1/C.
 
     MLlib averages the loss over the weights while the penalty 1/C goes with
-    their sum; balanced weights add up to the number of rows.
+    their sum: ``fit`` divides the penalty by the weights of its rows.
     """
     return LogisticRegression(
         featuresCol=FEATURES, weightCol=WEIGHT, maxIter=max_iter,
-        regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False,
+        regParam=1.0 / c, elasticNetParam=0.0, standardization=False,
     )
 
 
@@ -180,9 +182,19 @@ def _weighted(df: DataFrame, y: str, scheme: str) -> DataFrame:
     return df.withColumn(WEIGHT, F.lit(1.0))
 
 
-def fit(estimator: Estimator, train: DataFrame, y: str, scheme: str = "balanced"):
-    """Fit on rows that carry the feature vector and a 0/1 label."""
-    return estimator.copy({estimator.labelCol: y}).fit(_weighted(train, y, scheme))
+def fit(estimator: Estimator, train: DataFrame, y: str, scheme: str = "balanced", categories: int = 0):
+    """Fit on rows that carry the feature vector and a 0/1 label.
+
+    ``categories``: most values of a category; trees get as many bins.
+    """
+    rows = _weighted(train, y, scheme)
+    more = {estimator.labelCol: y}
+    if isinstance(estimator, LogisticRegression):
+        total = rows.agg(F.sum(WEIGHT)).first()[0]
+        more[estimator.regParam] = estimator.getRegParam() / max(float(total or 0), 1.0)
+    elif categories > estimator.getMaxBins():
+        more[estimator.maxBins] = categories
+    return estimator.copy(more).fit(rows)
 
 
 def scores(model, df: DataFrame, keep: Sequence[str], out: str = "score") -> DataFrame:
@@ -225,7 +237,7 @@ def fit_and_score(
 ) -> tuple[PipelineModel, DataFrame, Preparation]:
     """Preparation fitted on train, model, and scored test rows (id, y, score)."""
     done = fit_preparation(train, features, **preparation)
-    model = fit(estimator, prepared(train, done, [id_col, y]), y, scheme)
+    model = fit(estimator, prepared(train, done, [id_col, y]), y, scheme, done.categories)
     scored = scores(model, prepared(test, done, [id_col, y]), [id_col, y])
     return PipelineModel([*done.stages, model]), scored, done
 
@@ -259,7 +271,7 @@ def cross_validate(
     for k in range(folds):
         train, held = base.where(F.col(fold) != k), base.where(F.col(fold) == k)
         done = fit_preparation(train, features, **preparation)
-        model = fit(estimator, prepared(train, done, [y]), y, scheme)
+        model = fit(estimator, prepared(train, done, [y]), y, scheme, done.categories)
         scored.append(scores(model, prepared(held, done, [id_col, y, fold]), [id_col, y, fold]))
         gains += importances(model, done.names)
     out = stored(reduce(DataFrame.unionByName, scored), "oof")
@@ -356,10 +368,10 @@ def train_per_label(
     inner = base.where(F.col(part) == "train")
     models, val, test = {}, [], []
     for name, column in zip(names, columns):
-        model = fit(estimator, inner, column, scheme)
+        model = fit(estimator, inner, column, scheme, done.categories)
         val.append(_label_scores(model, base.where(F.col(part) == "val"), id_col, name, column))
         if refit:
-            model = fit(estimator, base.where(F.col(part) != "test"), column, scheme)
+            model = fit(estimator, base.where(F.col(part) != "test"), column, scheme, done.categories)
         test.append(_label_scores(model, base.where(F.col(part) == "test"), id_col, name, column))
         models[name] = model
     tuned: Callable = {"grid": evaluate.grid_threshold, "stepped": evaluate.stepped_threshold}[tuning]

@@ -53,7 +53,9 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> list[str]:
             .load(root)
             .select("path")
         )
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return sorted(r["path"] for r in found.collect())
 

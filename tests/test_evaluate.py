@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casesignal.operators import evaluate, order, stats
+from casesignal.operators import evaluate, order, prep, stats
 
 
 def scored(n=300, seed=1, ties=20):
@@ -50,15 +50,33 @@ def test_areas(spark):
     assert math.isclose(got["ap"], ap)
 
 
-def test_bucketed_totals_equal_one_window(spark):
-    rows = scored(2000, ties=700)
-    table = frame(spark, rows).groupBy("label", "score").agg(F.sum("y").alias("n"))
-    keys = ["label", "score"]
-    one = order.running_totals(table, "score", ["n"], ["label"], "prev").orderBy(*keys).collect()
-    many = order.running_totals(
-        table, "score", ["n"], ["label"], "prev", buckets=16, one_window_rows=0
-    ).select(*one[0].__fields__).orderBy(*keys).collect()
-    assert one == many
+@pytest.mark.parametrize("bucket_rows", [20_000, 100, 7])
+def test_totals_at_any_number_of_buckets(spark, bucket_rows):
+    """Null groups, null and NaN values among them: null first, NaN last."""
+    nan = float("nan")
+    table = {(g, s): (i * 7) % 5 for g in ("a", "b", None) for i, s in enumerate([None, nan, *[x / 8 for x in range(-60, 90)]])}
+    df = spark.createDataFrame([(g, s, n) for (g, s), n in table.items()], "label string, score double, n long")
+    got = order.running_totals(df, "score", ["n"], ["label"], "prev", bucket_rows=bucket_rows).collect()
+    place = lambda s: (-1e9 if s is None else 1e9 if math.isnan(s) else s)
+    assert len(got) == len(table)
+    for r in got:
+        own = {place(s): n for (g, s), n in table.items() if g == r.label}
+        below = [x for x in own if x < place(r.score)]
+        assert r.n_total == sum(own.values()) and r.n_before == sum(own[x] for x in below)
+        assert (r.prev if r.prev is not None else -1e9) == max(below, default=-1e9)
+
+
+def test_rows_without_a_threshold_take_the_default(spark):
+    df = spark.createDataFrame([("a", 0.4), ("a", 0.9), ("b", 0.4), ("b", 0.6), (None, 0.45)], "label string, score double")
+    table = spark.createDataFrame([("a", 0.8), (None, 0.4)], "label string, threshold double")
+    got = [tuple(r) for r in evaluate.apply_threshold(df, "score", table, ["label"]).collect()]
+    assert sorted(got, key=str) == sorted([("a", 0.4, 0), ("a", 0.9, 1), ("b", 0.4, 0), ("b", 0.6, 1), (None, 0.45, 1)], key=str)
+
+
+def test_profile_of_numbers_beyond_a_long(spark):
+    df = spark.createDataFrame([(float("nan"), 1e30, 1.0, None), (0.0, 1.0, 0.0, None)], "a double, b double, c double, d double")
+    got = {r.column: (r.non_null, r.varied, r.binary) for r in prep.profile(df, df.columns).collect()}
+    assert got == {"a": (2, True, False), "b": (2, True, False), "c": (2, True, True), "d": (0, False, False)}
 
 
 def test_thresholds(spark):

@@ -57,7 +57,7 @@ def test_logistic_learns_and_reloads(spark, rows, tmp_path):
     fit_rows, test = split.where("is_test = 0"), split.where("is_test = 1")
     features = train.FeatureSet(("x", "noise"), ("kind",))
     model, scored, done = train.fit_and_score(
-        fit_rows, test, "id", "y", features, train.logistic(fit_rows.count(), max_iter=50), scaling="std"
+        fit_rows, test, "id", "y", features, train.logistic(max_iter=50), scaling="std"
     )
     assert evaluate.roc_auc(scored, "y", "score").first()["auc"] > 0.9
     assert train.coefficients(model.stages[-1], done.names)[0][0] in ("x", "kind_it's high")
