@@ -13,7 +13,9 @@ they take ``max_bytes`` or less, else by a join.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casesignal.llm.common import arrow_map, texts_of
+from casesignal.llm.common import arrow_map, arrow_schema, texts_of, to_batch
 from casesignal.session import stored
 
 MARK = "▁"
@@ -33,9 +35,11 @@ MARK = "▁"
 #: to arrays, which costs the square of a word's length.
 LONG = 64
 WORDS_A_TASK = 50_000
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Pieces:
     """The pieces of a model with byte fallback: scores and ids."""
 
@@ -91,8 +95,12 @@ def load_pieces(model: bytes) -> Pieces:
     return Pieces(ids, scores, tuple(bytes_[b] for b in range(256)), tuple(texts), max(map(len, ids)), min(scores.values()) - 10, re.compile(pattern))
 
 
+def word_hash(words) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64).view(np.int64)
+
+
 def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``w``: the words of all texts, each once."""
+    """``h`` (XXH64), ``w``: the words of all texts, each once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
@@ -100,66 +108,106 @@ def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> Dat
         found: set[str] = set()
         for t in texts_of(batch.column(0)):
             found.update(own.words(t.decode("utf-8", "replace")))
-        return {"w": list(found)}
+        words = list(found)
+        return {"h": word_hash(words), "w": words}
+
+    rows = arrow_map(docs.select(F.col(text_col)), of, "h bigint, w string")
+    return rows.groupBy("h").agg(F.min("w").alias("w"))
+
+
+# An edge in one number: end, start, and the id + 1, or _BARE + code point.
+_END, _START, _BARE = 48, 40, 1 << 32
+
 
-    return arrow_map(docs.select(F.col(text_col)), of, "w string").distinct()
+def _best_path(edges: Column) -> Column:
+    """Ids along the best path through ``edges``: k, start, end, score.
 
+    The fold goes by end and keeps the best score and edge of each place; the
+    walk back follows the edges' starts.
+    """
+
+    zero = F.struct(F.array(F.lit(0.0)).alias("scores"), F.array(F.lit(0).cast("long")).alias("edges"))
+
+    def step(acc: Column, x: Column) -> Column:
+        way = F.get(acc["scores"], x["start"]) + x["score"]
 
-def _best_path(edges: Column, n: Column) -> Column:
-    """Ids along the best path through ``edges`` (end, start, score, id) to ``n``."""
-    by_end = F.transform(F.sequence(F.lit(1), n), lambda k: F.filter(edges, lambda x: x["end"] == k))
-    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id"))
+        def last(held: str, new: Column) -> Column:
+            return F.concat(F.slice(acc[held], F.lit(1), x["end"]), F.array(new)).alias(held)
 
-    def step(acc: Column, at: Column) -> Column:
-        ways = F.transform(at, lambda x: F.struct((F.get(acc, x["start"])["score"] + x["score"]).alias("score"), (-x["start"]).alias("back"), x["id"].alias("id")))
-        return F.array_append(acc, F.array_max(ways))
+        on = F.struct(F.array_append(acc["scores"], way).alias("scores"), F.array_append(acc["edges"], x["k"]).alias("edges"))
+        better = F.struct(last("scores", way), last("edges", x["k"]))
+        return F.when(x["end"] >= F.size(acc["scores"]), on).when(way > F.get(acc["scores"], x["end"]), better).otherwise(acc)
 
-    places = F.aggregate(by_end, F.array(none), step)
-    start = F.struct((F.size(places) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    def end(k: Column) -> Column:
+        return F.shiftright(k, _END).cast("int")
 
-    def walk(acc: Column, place: Column) -> Column:
-        here = acc["at"] == place["i"]
+    def start(k: Column) -> Column:
+        return F.shiftright(k, _START).cast("int").bitwiseAND(F.lit(255))
+
+    best = F.aggregate(F.sort_array(edges), zero, step, lambda acc: F.reverse(acc["edges"]))
+    none = F.struct(F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("ids"))
+
+    def walk(acc: Column, k: Column) -> Column:
+        here = ((acc["at"] < 0) | (acc["at"] == end(k))) & (k > 0)
         return F.struct(
-            F.when(here, -place["back"]).otherwise(acc["at"]).alias("at"),
-            F.when(here, F.array_append(acc["ids"], F.when(place["id"] >= 0, place["id"]).otherwise(-place["i"]))).otherwise(acc["ids"]).alias("ids"),
+            F.when(here, start(k)).otherwise(acc["at"]).alias("at"),
+            F.when(here, F.array_append(acc["ids"], k.bitwiseAND(F.lit((1 << _START) - 1)) - 1)).otherwise(acc["ids"]).alias("ids"),
         )
 
-    numbered = F.filter(F.reverse(F.transform(places, lambda p, i: p.withField("i", i))), lambda p: p["i"] > 0)
-    return F.reverse(F.aggregate(numbered, start, walk, lambda acc: acc["ids"]))
+    return F.reverse(F.aggregate(best, none, walk, lambda acc: acc["ids"]))
+
+
+@lru_cache(maxsize=2)
+def needed_pieces(pieces: Pieces) -> tuple[str, ...]:
+    """Pieces that can lie on a best path: no cut of them scores more.
+
+    Any path with another piece gets better with that piece cut up, so leaving
+    them out of the lattice changes no result and keeps it small.
+    """
+    out: dict[str, float] = {}
+    for p in sorted(pieces.scores, key=len):
+        best = [0.0] + [float("-inf")] * len(p)
+        for end in range(1, len(p) + 1):
+            for start in range(end):
+                score = out.get(p[start:end])
+                if score is not None and best[start] + score > best[end]:
+                    best[end] = best[start] + score
+        if best[-1] <= pieces.scores[p]:
+            out[p] = pieces.scores[p]
+    return tuple(out)
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """``piece``, ``id``, ``score``: a row for each piece of the model."""
-    rows = pa.table({"piece": list(pieces.ids), "id": pa.array(list(pieces.ids.values()), pa.int32()), "score": list(map(pieces.scores.get, pieces.ids))})
+    """``piece``, ``id``, ``score``: a row for each piece that a best path can use."""
+    names = list(needed_pieces(pieces))
+    rows = pa.table({"piece": names, "id": pa.array([pieces.ids[p] for p in names], pa.int32()), "score": [pieces.scores[p] for p in names]})
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
 def encode_words(words: DataFrame, model: bytes) -> DataFrame:
-    """``w`` and ``ids`` of each distinct word.
+    """``h`` and ``ids`` of each distinct word of at most LONG characters.
 
-    An id below 0 stands for the character that ends at that place, which the
-    piece table lacks: its bytes are spelled out by ``spell``.
+    A character that the piece table lacks is _BARE - 1 plus its code point.
     """
     spark, pieces = words.sparkSession, load_pieces(model)
     words = words.where(F.length("w") <= LONG).withColumn("n", F.length("w"))
-    starts = words.select("w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    starts = words.select("h", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))
-    parts = starts.select("w", "n", "start", F.explode(sizes).alias("size"))
-    parts = parts.select("w", "n", "start", (F.col("start") + F.col("size")).alias("end"), F.substring("w", F.col("start") + 1, F.col("size")).alias("piece"))
-    # The table has one row for each piece of the model.
-    found = parts.join(F.broadcast(piece_table(spark, pieces)), "piece", "left").where("id IS NOT NULL OR end = start + 1")
-    edge = F.struct("end", "start", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    lattice = found.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
-    return lattice.select("w", _best_path(F.col("edges"), F.col("n")).alias("ids"))
+    parts = starts.select("h", "w", "start", F.explode(sizes).alias("size"))
+    parts = parts.select("h", "start", "size", F.substring("w", F.col("start") + 1, F.col("size")).alias("piece"))
+    # The table has a row for each piece of the model at most.
+    found = parts.join(F.broadcast(piece_table(spark, pieces)), "piece", "left").where("id IS NOT NULL OR size = 1")
+    code = F.coalesce(F.col("id").cast("long") + 1, F.ascii("piece").cast("long") + _BARE)
+    place = F.shiftleft((F.col("start") + F.col("size")).cast("long"), _END) + F.shiftleft(F.col("start").cast("long"), _START)
+    edge = F.struct((place + code).alias("k"), "start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    return found.groupBy("h").agg(F.collect_list(edge).alias("edges")).select("h", _best_path(F.col("edges")).alias("ids"))
 
 
-def _spell(word: str, ids: list[int], pieces: Pieces) -> list[int]:
+def _spell(ids: list[int], pieces: Pieces) -> list[int]:
     """``ids`` with the bytes of characters off the table."""
-    if min(ids, default=0) >= 0:
-        return ids
     out = []
     for i in ids:
-        out += [i] if i >= 0 else [pieces.byte_ids[b] for b in word[-i - 1].encode("utf-8", "surrogatepass")]
+        out += [i] if i < _BARE - 1 else [pieces.byte_ids[b] for b in chr(i - _BARE + 1).encode("utf-8", "surrogatepass")]
     return out
 
 
@@ -168,18 +216,22 @@ def word_table(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFra
     spark = docs.sparkSession
     words = stored(distinct_words(docs, model, text_col), "words")
     n = max(1, -(-words.count() // WORDS_A_TASK))
-    short = encode_words(words.repartition(n, "w"), model)
+    short = encode_words(words.repartition(n, "h"), model)
     sent = spark.sparkContext.broadcast(model)
 
-    def finish(batch: pa.RecordBatch) -> dict[str, object]:
+    def spelled(batch: pa.RecordBatch) -> dict[str, object]:
+        ids = batch.column(1)
+        if len(ids.flatten()) and ids.flatten().to_numpy(zero_copy_only=False).max() >= _BARE - 1:
+            return {"h": batch.column(0), "ids": [_spell(x, load_pieces(sent.value)) for x in ids.to_pylist()]}
+        return {"h": batch.column(0), "ids": ids.cast(pa.list_(pa.int32()))}
+
+    def plain(batch: pa.RecordBatch) -> dict[str, object]:
         own = load_pieces(sent.value)
-        own_words = batch.column(0).to_pylist()
-        lists = batch.column(1).to_pylist()
-        ids = [own.word_ids(w) if i is None else _spell(w, i, own) for w, i in zip(own_words, lists, strict=True)]
-        return {"h": np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own_words], dtype=np.uint64).view(np.int64), "ids": ids}
+        return {"h": batch.column(0), "ids": [own.word_ids(w) for w in batch.column(1).to_pylist()]}
 
-    long = words.where(F.length("w") > LONG).select("w", F.lit(None).cast("array<int>").alias("ids"))
-    return stored(arrow_map(short.unionByName(long), finish, "h bigint, ids array<int>"), "word-ids")
+    short = arrow_map(short, spelled, "h bigint, ids array<int>")
+    long = arrow_map(words.where(F.length("w") > LONG).select("h", "w"), plain, "h bigint, ids array<int>")
+    return stored(short.unionByName(long), "word-ids")
 
 
 class WordIds:
@@ -238,34 +290,62 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", max_bytes:
         return _encode_by_join(rows, table, model, at, schema)
     sent = spark.sparkContext.broadcast((model, packed))
 
-    def of(batch: pa.RecordBatch) -> dict[str, object]:
-        own, known = load_pieces(sent.value[0]), sent.value[1]
-        number: dict[str, int] = {}
-        at_word, lengths = [], []
-        for t in texts_of(batch.column(0).field(at)):
-            words = own.words(t.decode("utf-8", "replace"))
-            lengths.append(len(words))
-            at_word.extend([number.setdefault(w, len(number)) for w in words])
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], dtype=np.uint64).view(np.int64)
-        place = known.places(hashes)[np.array(at_word, dtype=np.int64)] if number else np.zeros(0, dtype=np.int64)
-        size = known.lengths[place].astype(np.int64)
-        ends = np.cumsum(size)
-        ids = known.ids[np.repeat(known.starts[place] - (ends - size), size) + np.arange(int(size.sum()))]
-        words_end = np.cumsum(lengths)
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], words_end]).astype(np.int64)]
-        return {"row": batch.column(0), "pieces": _result(own, ids, edges)}
+    target = arrow_schema(schema)
 
-    return arrow_map(rows, of, schema).select("row.*", "pieces")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = load_pieces(sent.value[0]), sent.value[1]
+        for batch in batches:
+            for lo, texts in _slices(texts_of(batch.column(0).field(at))):
+                part = batch.slice(lo, len(texts))
+                yield to_batch({"row": part.column(0), "pieces": _encode_texts(own, known, texts)}, target)
+
+    return rows.mapInArrow(run, schema).select("row.*", "pieces")
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of SLICE bytes or a little more."""
+    lo = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= SLICE or i == len(texts):
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+
+
+def _encode_texts(own: Pieces, known: WordIds, texts: list[bytes]) -> pa.StructArray:
+    number: dict[str, int] = {}
+    at_word, lengths = array("i"), []
+    for t in texts:
+        words = own.words(t.decode("utf-8", "replace"))
+        lengths.append(len(words))
+        at_word.extend([number.setdefault(w, len(number)) for w in words])
+    place = known.places(word_hash(number))[np.frombuffer(at_word, dtype=np.int32)] if number else np.zeros(0, dtype=np.int64)
+    size = known.lengths[place].astype(np.int64)
+    ends = np.cumsum(size)
+    ids = known.ids[np.repeat(known.starts[place] - (ends - size), size) + np.arange(int(size.sum()))]
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+    return _result(own, ids, edges)
 
 
 def _result(own: Pieces, ids: np.ndarray, edges: np.ndarray) -> pa.StructArray:
-    import hashlib
-
-    texts = [hashlib.sha256(own.decode(ids[a:b].tolist())).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    texts = [hashlib.sha256(t).hexdigest() for t in _decoded(own, ids, edges)]
     lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
     return pa.StructArray.from_arrays([pa.array(np.diff(edges)), lists, pa.array(texts)], names=["n_tokens", "ids", "decoded_sha256"])
 
 
+def _decoded(own: Pieces, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+    """Texts of ``ids[edges[i]:edges[i + 1]]``: the pieces' bytes put in a row."""
+    sizes = np.array([len(t) for t in own.texts], dtype=np.int64)
+    flat = np.frombuffer(b"".join(own.texts), dtype=np.uint8)
+    size = sizes[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = (np.cumsum(sizes) - sizes)[ids] - ends[:-1]
+    data = flat[np.repeat(first, size) + np.arange(ends[-1])].tobytes()
+    mark, cut = MARK.encode(), ends[edges].tolist()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield data[a:b].replace(mark, b" ")[1:]
+
+
 def _encode_by_join(rows: DataFrame, table: DataFrame, model: bytes, at: int, schema: T.StructType) -> DataFrame:
     """For word tables over the bound: words of distinct texts meet their ids."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -279,8 +359,8 @@ def _encode_by_join(rows: DataFrame, table: DataFrame, model: bytes, at: int, sc
             words = own.words(t.decode("utf-8", "replace"))
             keys += [key] * len(words)
             places += range(len(words))
-            hashes += [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
-        return {"key": keys, "place": places, "h": np.array(hashes, dtype=np.uint64).view(np.int64)}
+            hashes += words
+        return {"key": keys, "place": places, "h": word_hash(hashes)}
 
     texts = rows.where("text_id IS NOT NULL").groupBy("text_id").agg(F.first(text).alias("text"))
     words = arrow_map(texts, cut, "key binary, place int, h bigint")
