@@ -57,7 +57,7 @@ def weighted_stats(wanted: Mapping[str, Sequence[str]], weight: str) -> list[Col
     """The same statistics for rows that each stand for ``weight`` equal ones.
 
     ``std`` needs the group's mean on every row as ``__mean_<column>``
-    (:func:`weighted_mean` over a window); deviations from it are summed, so
+    (:func:`weighted_mean` of the group); deviations from it are summed, so
     nothing cancels out.
     """
     out = []
