@@ -85,7 +85,7 @@ WITH sized AS (
 ), placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY chunk, shuffle, doc_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM (SELECT *, ('0x' || shuffle[1:8])::BIGINT % (SELECT CASE WHEN count(*) // 20000 = 0 THEN 1 ELSE 1 << length(bin(count(*) // 20000)) END FROM sized) AS chunk FROM sized)
+  FROM (SELECT *, ('0x' || shuffle[1:8])::BIGINT % (SELECT CASE WHEN count(*) // 1000000 = 0 THEN 64 ELSE 64 << length(bin(count(*) // 1000000)) END FROM sized) AS chunk FROM sized)
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source
