@@ -88,3 +88,20 @@ def test_large_dimension_is_not_broadcast(spark):
     assert not big.small and big.side() is big.df
     small = check_size(spark.range(5), limit=10)
     assert small.small and len(small.rows) == 5
+
+
+@pytest.mark.parametrize("ordinal", [None, "place"])
+def test_odd_dimension_names_mean_the_same_on_both_paths(spark, ordinal):
+    dim = spark.createDataFrame(
+        [("", 1), (None, 2), ("Alpha", None), ("ALPHA", 3), ("lph", 1), ("beta", 4), ("bet", None)], "drug_name string, place int"
+    )
+    df = spark.createDataFrame([(x,) for x in ["", None, "alpha", "x alphabet", "betas", "zlphz", "none"]], "DRUGNAME string")
+    got = [
+        sorted(map(str, names.resolve_names(df, "DRUGNAME", dim, ordinal=ordinal, inline_rows=n).collect())) for n in (256, 0)
+    ]
+    assert got[0] == got[1]
+
+
+def test_wide_rows_are_not_fetched(spark):
+    wide = spark.range(3000).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+    assert not check_size(wide).small and check_size(wide.limit(50)).small
