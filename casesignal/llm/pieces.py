@@ -96,11 +96,13 @@ def load_pieces(model: bytes) -> Pieces:
 
 
 def word_hash(words) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64).view(np.int64)
+    """XXH64 as Spark's function gives it."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in words], dtype=np.uint64).view(np.int64)
 
 
 def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``h`` (XXH64), ``w``: the words of all texts, each once."""
+    """``w``: the words of all texts, each once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
@@ -108,11 +110,9 @@ def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> Dat
         found: set[str] = set()
         for t in texts_of(batch.column(0)):
             found.update(own.words(t.decode("utf-8", "replace")))
-        words = list(found)
-        return {"h": word_hash(words), "w": words}
+        return {"w": list(found)}
 
-    rows = arrow_map(docs.select(F.col(text_col)), of, "h bigint, w string")
-    return rows.groupBy("h").agg(F.min("w").alias("w"))
+    return arrow_map(docs.select(F.col(text_col)), of, "w string").distinct()
 
 
 # An edge in one number: end, start, and the id + 1, or _BARE + code point.
@@ -138,23 +138,23 @@ def _best_path(edges: Column) -> Column:
         better = F.struct(last("scores", way), last("edges", x["k"]))
         return F.when(x["end"] >= F.size(acc["scores"]), on).when(way > F.get(acc["scores"], x["end"]), better).otherwise(acc)
 
-    def end(k: Column) -> Column:
-        return F.shiftright(k, _END).cast("int")
-
     def start(k: Column) -> Column:
         return F.shiftright(k, _START).cast("int").bitwiseAND(F.lit(255))
 
-    best = F.aggregate(F.sort_array(edges), zero, step, lambda acc: F.reverse(acc["edges"]))
-    none = F.struct(F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("ids"))
+    none = F.array().cast("array<bigint>").alias("ids")
+
+    def back(done: Column) -> Column:
+        """From the last place along the edges' starts; at 0 nothing changes."""
+        from_end = F.struct((F.size(done["edges"]) - 1).alias("at"), none)
+
+        def walk(acc: Column, _: Column) -> Column:
+            k = F.get(done["edges"], acc["at"])
+            code = k.bitwiseAND(F.lit((1 << _START) - 1)) - 1
+            return F.when(acc["at"] > 0, F.struct(start(k).alias("at"), F.array_append(acc["ids"], code).alias("ids"))).otherwise(acc)
 
-    def walk(acc: Column, k: Column) -> Column:
-        here = ((acc["at"] < 0) | (acc["at"] == end(k))) & (k > 0)
-        return F.struct(
-            F.when(here, start(k)).otherwise(acc["at"]).alias("at"),
-            F.when(here, F.array_append(acc["ids"], k.bitwiseAND(F.lit((1 << _START) - 1)) - 1)).otherwise(acc["ids"]).alias("ids"),
-        )
+        return F.reverse(F.aggregate(done["edges"], from_end, walk, lambda acc: acc["ids"]))
 
-    return F.reverse(F.aggregate(best, none, walk, lambda acc: acc["ids"]))
+    return F.aggregate(F.sort_array(edges), zero, step, back)
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +214,7 @@ def _spell(ids: list[int], pieces: Pieces) -> list[int]:
 def word_table(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """``h`` (XXH64 of the word), ``ids`` of every distinct word of the texts."""
     spark = docs.sparkSession
-    words = stored(distinct_words(docs, model, text_col), "words")
+    words = stored(distinct_words(docs, model, text_col).withColumn("h", F.xxhash64("w")), "words")
     n = max(1, -(-words.count() // WORDS_A_TASK))
     short = encode_words(words.repartition(n, "h"), model)
     sent = spark.sparkContext.broadcast(model)
@@ -235,14 +235,16 @@ def word_table(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFra
 
 
 class WordIds:
-    """Sorted hashes of words with their ids in one array."""
+    """Sorted hashes of words; word i's ids are ids[starts[i]:starts[i + 1]]."""
 
     def __init__(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        self.hashes, self.lengths = hashes[order], lengths[order].astype(np.int32)
-        self.starts = starts[order].astype(np.int64)
-        self.ids = ids
+        first = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
+        sizes = lengths[order].astype(np.int64)
+        ends = np.cumsum(sizes)
+        self.hashes = hashes[order]
+        self.starts = np.concatenate([[0], ends]).astype(np.uint32)
+        self.ids = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(len(ids))]
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.hashes, hashes)
@@ -320,9 +322,10 @@ def _encode_texts(own: Pieces, known: WordIds, texts: list[bytes]) -> pa.StructA
         lengths.append(len(words))
         at_word.extend([number.setdefault(w, len(number)) for w in words])
     place = known.places(word_hash(number))[np.frombuffer(at_word, dtype=np.int32)] if number else np.zeros(0, dtype=np.int64)
-    size = known.lengths[place].astype(np.int64)
+    first = known.starts[place].astype(np.int64)
+    size = known.starts[place + 1] - first
     ends = np.cumsum(size)
-    ids = known.ids[np.repeat(known.starts[place] - (ends - size), size) + np.arange(int(size.sum()))]
+    ids = known.ids[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
     edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
     return _result(own, ids, edges)
 
