@@ -5,6 +5,7 @@ labels and depths as published and ROUNDS or TREES of them, so that a run over
 the test tables ends in a minute; pass other numbers to the plans for more.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from casesignal.catalog import adapters as a
@@ -55,13 +56,34 @@ def forest_report(spark, sf):
     return evaluate.classification_report(evaluate.confusion(predicted, _Y, "pred"))
 
 
-@query("pipeline_roundtrip")
+@query("pipeline_roundtrip", "SELECT 0.0::DOUBLE AS max_difference")
 def pipeline_roundtrip(spark, sf):
-    """Saved and loaded pipeline; it scores raw case rows."""
+    """Saved and loaded pipeline: the largest change of a score of raw case rows."""
     model, _, _ = _fit_v1(spark, sf, train.logistic())
     path = scratch_path(spark, "model")
     save_model(model, path)
-    return train.scores(load_pipeline(path), v1(spark, sf), [_ID])
+    before = train.scores(model, v1(spark, sf), [_ID])
+    after = train.scores(load_pipeline(path), v1(spark, sf), [_ID]).withColumnRenamed("score", "again")
+    return before.join(after, _ID).agg(F.max(F.abs(F.col("score") - F.col("again"))).alias("max_difference"))
+
+
+@query("logistic_gradient", "SELECT 0.0::DOUBLE AS max_gradient")
+def logistic_gradient(spark, sf):
+    """Gradient of the penalised loss at the fitted coefficients, per unit of weight."""
+    split = _v1_split(spark, sf).where("is_test = 0")
+    features = train.choose_features(split, (*_NOT_FEATURES, "is_test"))
+    done = train.fit_preparation(split, features, scaling="std")
+    vectors = train.prepared(split, done, [_ID, _Y])
+    model = train.fit(train.logistic(), vectors, _Y)
+    rows = train.weighted(vectors, _Y, "balanced").select(_Y, train.WEIGHT, vector_to_array(train.FEATURES).alias("x"))
+    beta = [float(b) for b in model.coefficients]
+    margin = F.aggregate(F.zip_with("x", F.lit(beta), lambda a, b: a * b), F.lit(model.intercept), lambda s, v: s + v)
+    off = F.col(train.WEIGHT) * (1 / (1 + F.exp(-margin)) - F.col(_Y))
+    sums = rows.withColumn("off", off).agg(
+        F.sum(train.WEIGHT).alias("w"), F.array(*[F.sum(F.col("off") * F.col("x")[j]) for j in range(len(beta))]).alias("g")
+    )
+    worst = F.array_max(F.zip_with("g", F.lit(beta), lambda g, b: F.abs(g + b)))
+    return sums.select(F.round(worst / F.col("w"), 3).alias("max_gradient"))
 
 
 def _cross_validated(spark, sf):

@@ -172,7 +172,7 @@ def boosted(rounds: int = 800, depth: int = 6, rate: float = 0.045, min_leaf: in
     )
 
 
-def _weighted(df: DataFrame, y: str, scheme: str) -> DataFrame:
+def weighted(df: DataFrame, y: str, scheme: str) -> DataFrame:
     """Row weights: balanced classes, neg/pos on positives, or none."""
     if scheme == "balanced":
         return prep.with_class_weight(df, y, WEIGHT)
@@ -187,7 +187,7 @@ def fit(estimator: Estimator, train: DataFrame, y: str, scheme: str = "balanced"
 
     ``categories``: most values of a category; trees get as many bins.
     """
-    rows = _weighted(train, y, scheme)
+    rows = weighted(train, y, scheme)
     more = {estimator.labelCol: y}
     if isinstance(estimator, LogisticRegression):
         total = rows.agg(F.sum(WEIGHT)).first()[0]

@@ -1,7 +1,7 @@
 """Raw text to stored results, end to end."""
 
 from casesignal.operators import splits
-from casesignal.plans import pipeline, train
+from casesignal.plans import models, pipeline, train
 from casesignal.sources.tables import load_pipeline, read_parquet
 
 COMPOUNDS = (
@@ -65,3 +65,25 @@ def test_model_sinks(spark, tmp_path):
     models = train.train_per_label(parts, pairs, "id", "pt", ["hi"], "part", features, small, fill="zero")
     pipeline.write_label_models(models, str(tmp_path / "l"))
     assert read_parquet(spark, str(tmp_path / "l/thresholds")).count() == 1
+
+
+def test_model_flows_end_to_end(spark, tmp_path):
+    """From the raw files to every stored result, at small sizes."""
+    raw, clean, out = tmp_path / "raw", str(tmp_path / "clean"), str(tmp_path / "out")
+    write_raw(raw)
+    dims = str(raw / "compounds.csv")
+    pipeline.clean(spark, str(raw), clean)
+    pipeline.run_metrics(spark, clean, dims, out)
+    pipeline.run_case_features(spark, clean, dims, out)
+    models.run_correlations(spark, out)
+    models.run_case_models(spark, out, ["age", "logP_mean", "n_diab_records"], max_iter=20, trees=3, folds=2, rounds=2)
+    models.run_label_models(spark, clean, dims, out, rounds=2, trees=2, nbits=16, top_labels=2, forest_labels=2)
+    models.run_binary_model(spark, clean, dims, out, trees=2)
+    read = lambda p: spark.read.option("header", True).csv(f"{out}/{p}")
+    assert {r["class"] for r in read("logistic/report").collect()} >= {"0", "1", "accuracy"}
+    assert read("boosted/folds").count() == 2 and read("forest/features").count() > 0
+    for path in ("boosted_labels", "forest_labels"):
+        assert {r.label for r in read_parquet(spark, f"{out}/{path}/thresholds").collect()} == {"Nausea", "Headache"}
+    predicted = read_parquet(spark, f"{out}/boosted/predictions")
+    assert predicted.count() == predicted.select("PRIMARYID").distinct().count() == 60
+    assert read_parquet(spark, f"{out}/binary/threshold").count() == 1 and read("binary/metrics").count() == 1

@@ -73,7 +73,7 @@ def test_logistic_solves_the_penalised_problem(rows):
     done = train.fit_preparation(rows, features, scaling="standard")
     vectors = train.prepared(rows, done, ["id", "y"])
     model = train.fit(train.logistic(c=0.5), vectors, "y", "balanced")
-    got = train._weighted(vectors, "y", "balanced").collect()
+    got = train.weighted(vectors, "y", "balanced").collect()
     x = np.array([r["features"].toArray() for r in got])
     y, w = (np.array([r[c] for r in got], dtype=float) for c in ("y", train.WEIGHT))
     beta = model.coefficients.toArray()
