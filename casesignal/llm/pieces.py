@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +104,14 @@ def word_hash(words) -> np.ndarray:
 
 def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """``w``: the words of all texts, each once."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
-        own = load_pieces(sent.value)
+        own = sent.value
         found: set[str] = set()
-        for t in texts_of(batch.column(0)):
-            found.update(own.words(t.decode("utf-8", "replace")))
+        for part in _slices(batch, 0):
+            for t in texts_of(part.column(0)):
+                found.update(own.words(t.decode("utf-8", "replace")))
         return {"w": list(found)}
 
     return arrow_map(docs.select(F.col(text_col)), of, "w string").distinct()
@@ -217,16 +219,16 @@ def word_table(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFra
     words = stored(distinct_words(docs, model, text_col).withColumn("h", F.xxhash64("w")), "words")
     n = max(1, -(-words.count() // WORDS_A_TASK))
     short = encode_words(words.repartition(n, "h"), model)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(load_pieces(model))
 
     def spelled(batch: pa.RecordBatch) -> dict[str, object]:
         ids = batch.column(1)
         if len(ids.flatten()) and ids.flatten().to_numpy(zero_copy_only=False).max() >= _BARE - 1:
-            return {"h": batch.column(0), "ids": [_spell(x, load_pieces(sent.value)) for x in ids.to_pylist()]}
+            return {"h": batch.column(0), "ids": [_spell(x, sent.value) for x in ids.to_pylist()]}
         return {"h": batch.column(0), "ids": ids.cast(pa.list_(pa.int32()))}
 
     def plain(batch: pa.RecordBatch) -> dict[str, object]:
-        own = load_pieces(sent.value)
+        own = sent.value
         return {"h": batch.column(0), "ids": [own.word_ids(w) for w in batch.column(1).to_pylist()]}
 
     short = arrow_map(short, spelled, "h bigint, ids array<int>")
@@ -290,28 +292,30 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", max_bytes:
     schema = T.StructType([*rows.schema.fields, T.StructField("pieces", _ENCODED)])
     if packed is None:
         return _encode_by_join(rows, table, model, at, schema)
-    sent = spark.sparkContext.broadcast((model, packed))
+    sent = spark.sparkContext.broadcast((load_pieces(model), packed))
 
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = load_pieces(sent.value[0]), sent.value[1]
+        own, known = sent.value
         for batch in batches:
-            for lo, texts in _slices(texts_of(batch.column(0).field(at))):
-                part = batch.slice(lo, len(texts))
+            for part in _slices(batch, 0, at):
+                texts = texts_of(part.column(0).field(at))
                 yield to_batch({"row": part.column(0), "pieces": _encode_texts(own, known, texts)}, target)
 
     return rows.mapInArrow(run, schema).select("row.*", "pieces")
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of SLICE bytes or a little more."""
-    lo = size = 0
-    for i, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= SLICE or i == len(texts):
-            yield lo, texts[lo:i]
-            lo, size = i, 0
+def _slices(batch: pa.RecordBatch, *path: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with SLICE bytes of text or a little more."""
+    column = batch.column(path[0])
+    for i in path[1:]:
+        column = column.field(i)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // SLICE
+    edges = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(sizes)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(lo, hi - lo)
 
 
 def _encode_texts(own: Pieces, known: WordIds, texts: list[bytes]) -> pa.StructArray:
