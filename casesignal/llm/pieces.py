@@ -246,7 +246,12 @@ class WordIds:
         ends = np.cumsum(sizes)
         self.hashes = hashes[order]
         self.starts = np.concatenate([[0], ends]).astype(np.uint32)
-        self.ids = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(len(ids))]
+        self.ids = np.empty_like(ids)
+        # In runs of words: the places of all ids at once would take four times the ids.
+        for lo in range(0, len(order), WORDS_A_TASK):
+            own, end = sizes[lo : lo + WORDS_A_TASK], ends[lo : lo + WORDS_A_TASK]
+            at = np.arange(end[0] - own[0], end[-1])
+            self.ids[at] = ids[np.repeat(first[lo : lo + WORDS_A_TASK] - (end - own), own) + at]
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.hashes, hashes)
