@@ -190,11 +190,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_suffix_tree")
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document under a model of those not held out."""
-    from casesignal.llm.suffix_tree import held_out, learn, score
+    from casesignal.llm.suffix_tree import held_out
+    from casesignal.llm.word_tree import learn, score
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = learn(docs.where(~held_out(F.col("doc_id"))))
-    out = score(docs, tree, counts)
+    out = score(docs, learn(docs.where(~held_out(F.col("doc_id")))))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
