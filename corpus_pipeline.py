@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
     prepare(spark)
-    out = mixed_documents(_documents(docs))
+    out = mixed_documents(_documents(docs), exact=True)
     return _documents(out.withColumn("n_chars", F.length("text").cast("long")))
 
 
