@@ -2,8 +2,8 @@
 
 Known shapes are assignments to a secret's name, access keys, and long hex.
 The method adds ``random`` spans. A candidate is a run of 16 characters or more
-of the base64 alphabets whose encoding can be inferred (it mixes digits with
-letters). Under "the characters are drawn evenly and independently" it gets a
+of the base64 alphabets whose encoding can be inferred: digits and letters, of
+one case also with + / _ - between, or letters of both cases. Under "the characters are drawn evenly and independently" it gets a
 chi-squared statistic of its alphabet counts, a runs test about the middle of
 the alphabet, and a serial correlation; the three p-values are combined by
 Bonferroni. Benjamini-Hochberg then finds the candidates that are *not* random,
@@ -40,6 +40,13 @@ ENCODINGS = (
     (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
     (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/_-]+$", _UPPER + _LOWER + _DIGITS + "+/-_"),
+    # One case, with marks: UUIDs, keys behind a prefix, tokens in a path.
+    (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f+/_-]+$", _DIGITS + "abcdef+/-_"),
+    (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F+/_-]+$", _DIGITS + "ABCDEF+/-_"),
+    (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z+/_-]+$", _DIGITS + _UPPER + "+/-_"),
+    (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z+/_-]+$", _DIGITS + _LOWER + "+/-_"),
+    # Both cases without a digit.
+    (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z+/_-]+$", _UPPER + _LOWER + "+/-_"),
 )
 STEPS = 10_000
 
@@ -151,7 +158,6 @@ def _tested(rows: Column) -> Column:
 def _candidates(text: Column) -> Column:
     """start, end, group (encoding and doubling of the length) and step of the p-value."""
     found = _matches(text, CANDIDATE)
-    found = F.filter(found, lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))
     found = _with(found, enc=lambda s: _encoding(s["text"]))
     found = _tested(F.filter(found, lambda s: s["enc"].isNotNull()))
 
@@ -192,7 +198,7 @@ def find_secrets(docs: DataFrame, *, rate: float = 0.05, id_col: str = "doc_id",
     known = F.concat(of(0, _matches(text, ASSIGN, 2, 12)), of(1, _matches(text, ACCESS)), of(2, _matches(text, HEX)))
     rows = stored(docs.select(F.col(id_col).alias("id"), F.array_sort(known).alias("base"), _candidates(text).alias("tests")), "secrets")
     tests = rows.select(F.explode("tests").alias("t")).select("t.group", "t.step")
-    # Groups: encodings times doublings of a length, below 200.
+    # Groups: encodings times doublings of a length, below 400.
     last = {r["group"]: r["last"] for r in not_random(tests, rate).collect()}
     limits = F.array(*[F.lit(last.get(i, -1)) for i in range(max(last, default=0) + 1)])
 

@@ -105,3 +105,18 @@ def test_query_equals_plain(spark, sf):
         assert [g.n_assign, g.n_access, g.n_hex] == [sum(s[1] == i for s in base) for i in range(3)]
         assert g.spans == ",".join(map(name, w))
         assert g.base_sha256 == hashlib.sha256(",".join(map(name, base)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("key", ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "SK_7QX2M9ZC4VB8TNW5KJ3RHPD6", "files/8w2kq0zr5tnv7xjc3ybm"])
+def test_one_case_with_marks(spark, key):
+    df = spark.createDataFrame([(1, f"see {key} here")], "doc_id long, text string")
+    (row,) = find_secrets(df).collect()
+    assert [tuple(s) for s in row.spans] == [(4, 3, 4 + len(key))]
+
+
+def test_letters_of_both_cases(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices(ENCODINGS[4][1][:52], k=20)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = [[tuple(s) for s in r.spans] for r in find_secrets(df).collect()]
+    assert sum(f == [(4, 3, 24)] for f in found) >= 54
