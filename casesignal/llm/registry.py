@@ -216,3 +216,66 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
     return out.select("doc_id", "pieces.n_tokens", "pieces.ids", "pieces.decoded_sha256")
+
+
+DIGEST_SQL = r"""
+WITH placed AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), following AS (
+  SELECT p.rid, p.doc_id, p.text, n.text AS next_text, n.rid AS next_rid, length(p.text) AS n
+  FROM placed p JOIN placed n ON n.rid = p.rid % (SELECT max(rid) FROM placed) + 1
+), texts AS (
+  SELECT rid, 0 AS kind, text AS t FROM following
+  UNION ALL
+  SELECT rid, 1, CASE WHEN n < 2 THEN text ELSE substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) END FROM following
+), split AS (
+  SELECT rid, kind, t, regexp_extract_all(hex(encode(t)), '..') AS hs FROM texts
+), bytes AS (
+  SELECT rid, kind, generate_subscripts(hs, 1) AS i, ('0x' || unnest(hs))::BIGINT AS b FROM split
+), triplets AS (
+  SELECT rid, kind, b * 65536 + lead(b, 1) OVER w * 256 + lead(b, 2) OVER w AS k FROM bytes WINDOW w AS (PARTITION BY rid, kind ORDER BY i)
+), counted AS (
+  SELECT rid, kind, ((k * 2654435761) % 4294967296) // 8388608 AS bucket, count(*) AS n FROM triplets WHERE k IS NOT NULL GROUP BY ALL
+), full_counts AS (
+  SELECT s.rid, s.kind, g.bucket, coalesce(c.n, 0) AS n
+  FROM split s CROSS JOIN (SELECT unnest(range(512)) AS bucket) g
+  LEFT JOIN counted c ON c.rid = s.rid AND c.kind = s.kind AND c.bucket = g.bucket
+), quartiles AS (
+  SELECT rid, kind, list_sort(list(n))[128] AS q1, list_sort(list(n))[256] AS q2, list_sort(list(n))[384] AS q3 FROM full_counts GROUP BY rid, kind
+), codes AS (
+  SELECT f.rid, f.kind, bucket, (n > q1)::INT + (n > q2)::INT + (n > q3)::INT AS c FROM full_counts f JOIN quartiles q ON f.rid = q.rid AND f.kind = q.kind
+), digits AS (
+  SELECT rid, kind, bucket // 2 AS d, sum(CASE WHEN bucket % 2 = 0 THEN 4 * c ELSE c END)::INT AS v FROM codes GROUP BY ALL
+), bodies AS (
+  SELECT rid, kind, string_agg(substring('0123456789abcdef', v + 1, 1), '' ORDER BY d) AS body FROM digits GROUP BY rid, kind
+), heads AS (
+  SELECT s.rid, s.kind, t, 15 * q1 // greatest(q3, 1) AS r1, 15 * q2 // greatest(q3, 1) AS r2, len(hs) AS size, length(bin(len(hs))) AS bits
+  FROM split s JOIN quartiles q ON s.rid = q.rid AND s.kind = q.kind
+), prints AS (
+  SELECT h.rid, h.kind, t, r1, r2, CASE WHEN size < 4 THEN size ELSE 4 * (bits - 2) + (size >> (bits - 3)) % 4 END AS length,
+         body FROM heads h JOIN bodies b ON h.rid = b.rid AND h.kind = b.kind
+), named AS (
+  SELECT *, lpad(lower(hex(length)), 2, '0') || lower(substring('0123456789abcdef', (r1 + 1)::INT, 1)) || substring('0123456789abcdef', (r2 + 1)::INT, 1) || body AS fingerprint FROM prints
+), pairs AS (
+  SELECT rid, rid AS other, 1 AS kind FROM following UNION ALL SELECT rid, next_rid, 0 FROM following
+), apart AS (
+  SELECT p.rid, p.kind, sum(abs(a.c - b.c)) AS apart FROM pairs p
+  JOIN codes a ON a.rid = p.rid AND a.kind = 0 JOIN codes b ON b.rid = p.other AND b.kind = p.kind AND b.bucket = a.bucket GROUP BY p.rid, p.kind
+), near AS (
+  SELECT p.rid, p.kind, 1.0::DOUBLE - least(640, d.apart + 8 * abs(a.length - b.length) + 4 * (abs(a.r1 - b.r1) + abs(a.r2 - b.r2)))::DOUBLE / 640 AS near
+  FROM pairs p JOIN apart d ON d.rid = p.rid AND d.kind = p.kind
+  JOIN prints a ON a.rid = p.rid AND a.kind = 0 JOIN prints b ON b.rid = p.other AND b.kind = p.kind
+)
+SELECT f.doc_id, f.n AS n_chars, sha256(e.t) AS edited_sha256, o.fingerprint, e.fingerprint AS edited_fingerprint,
+       ne.near AS near_edited, nn.near AS near_next
+FROM following f JOIN named o ON o.rid = f.rid AND o.kind = 0 JOIN named e ON e.rid = f.rid AND e.kind = 1
+JOIN near ne ON ne.rid = f.rid AND ne.kind = 1 JOIN near nn ON nn.rid = f.rid AND nn.kind = 0
+"""
+
+
+@register("op11_byte_digest", DIGEST_SQL)
+def op11_byte_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text and of its edited form, and how alike they are."""
+    from casesignal.llm.byte_digest import changes
+
+    return changes(read(spark, sf_dir, "documents"))
