@@ -279,3 +279,55 @@ def op11_byte_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casesignal.llm.byte_digest import changes
 
     return changes(read(spark, sf_dir, "documents"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), marks AS (
+  SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT text, min(doc_id) AS least FROM docs GROUP BY text
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs
+), facts AS (
+  SELECT w.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text))::INT
+         + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > f.least, false)::INT AS mask
+  FROM worded w JOIN firsts f ON w.text = f.text LEFT JOIN marks m ON w.doc_id = m.doc_id
+), counts AS (
+  SELECT part, good, toxic, mask, count(*) AS n FROM facts GROUP BY ALL
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS l(letter, bit)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit <> b.bit AND a.bit <> c.bit AND a.bit <> d.bit AND a.bit <> e.bit
+    AND b.bit <> c.bit AND b.bit <> d.bit AND b.bit <> e.bit AND c.bit <> d.bit AND c.bit <> e.bit AND d.bit <> e.bit
+), steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6)) AS s) t
+), tallied AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & (before + bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0 AND good = 1), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0 AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM tallied
+"""
+
+
+@register("op13_filter_audit", AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each source, in all 120 orders."""
+    from casesignal.llm.filter_audit import audit, text_filters
+
+    losses = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return audit(docs, text_filters(F.col("text")), duplicate="E", labels=labels, losses=losses)
