@@ -331,3 +331,36 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     losses = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return audit(docs, text_filters(F.col("text")), duplicate="E", labels=labels, losses=losses)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT rid, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, c.rid, c.vec_id, a.label = c.label AS same, sum(a.x * c.x)::BIGINT AS score
+  FROM c AS a JOIN c ON a.i = c.i AND a.rid <> c.rid WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), p AS (
+  SELECT anchor, anchor_id, rid, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY score DESC, vec_id, s.rid))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@register("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels nearly as close to an anchor as its positives."""
+    from casesignal.llm.hard_negatives import labelled_vectors, mine
+
+    own = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own)
+    vectors = labelled_vectors(read(spark, sf_dir, "embeddings"), label)
+    return mine(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=5, low=80, high=100)
