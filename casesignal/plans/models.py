@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casesignal.operators import evaluate, labels, prep, splits, stats
 from casesignal.operators.aggregate import top_rows
-from casesignal.plans import pipeline, signals, train
+from casesignal.plans import boost, pipeline, signals, train
 from casesignal.session import stored
 from casesignal.sources.tables import cached_table, read_parquet, save_model, write_csv, write_parquet
 
@@ -54,7 +54,8 @@ def run_case_models(spark: SparkSession, out: str, candidates: Sequence[str], *,
         save_model(model, f"{out}/{name}/model")
     v2 = stored(splits.stratified_folds(read_parquet(spark, f"{out}/features_v2"), _KEY, [_Y], seed, folds), "folds")
     features = train.choose_features(v2, (*_NOT_FEATURES, "fold"))
-    cv = train.cross_validate(v2, _KEY, _Y, "fold", folds, features, train.boosted(rounds=rounds))
+    cv = train.cross_validate_boosted(v2, _KEY, _Y, "fold", folds, features, boost.Settings(rounds=rounds))
+    write_parquet(cv.nodes, f"{out}/boosted/nodes")
     write_parquet(cv.predictions, f"{out}/boosted/predictions")
     write_csv(cv.metrics, f"{out}/boosted/folds")
     write_csv(top_rows(cv.importances, 50, ["importance"], ["feature"]), f"{out}/boosted/features")
@@ -80,11 +81,13 @@ def run_label_models(
     parts = stored(splits.nested(x, _KEY, seed), "parts")
     numeric, categorical = prep.usable_features(parts, numbers, categories)
     names = labels.label_names(pairs, _KEY, "PT", top_labels)
-    boosted = train.train_per_label(
+    boosted = train.boosted_per_label(
         parts, pairs, _KEY, "PT", names, "part", train.FeatureSet(tuple(numeric), tuple(categorical)),
-        train.boosted(rounds=rounds), scheme="positive", tuning="grid", scaling="standard", encode="index",
+        boost.Settings(rounds=rounds, depth=5, rate=0.05),
     )
-    pipeline.write_label_models(boosted, f"{out}/boosted_labels")
+    write_parquet(boosted.thresholds, f"{out}/boosted_labels/thresholds")
+    write_parquet(boosted.predictions, f"{out}/boosted_labels/predictions")
+    write_parquet(boosted.nodes, f"{out}/boosted_labels/nodes")
     # The bits of each name are made once per content of the name column.
     bits = cached_table(
         parts.select("drug_mapped").distinct(), "drug_mapped", f"{out}/cache", f"bits{nbits}",

@@ -91,7 +91,7 @@ def test_category_of_any_size(spark):
 def test_cross_validation_covers_all_rows(rows):
     folded = splits.stratified_folds(rows, "id", ["y"], 1, folds=2)
     cv = train.cross_validate(
-        folded, "id", "y", "fold", 2, train.FeatureSet(("x", "noise"), ()), train.boosted(rounds=3, depth=3)
+        folded, "id", "y", "fold", 2, train.FeatureSet(("x", "noise"), ()), train.forest(trees=5, depth=3)
     )
     assert cv.predictions.count() == 400
     assert all(r["auc"] > 0.8 for r in cv.metrics.collect())
