@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from casesignal.bounds import small_values
 from casesignal.operators import evaluate, labels, prep, trees
-from casesignal.plans import boost
+from casesignal.plans import bagged, boost
 from casesignal.session import stored
 
 FEATURES = "features"
@@ -414,6 +414,41 @@ def train_per_label(
     return LabelModels(thresholds, predictions, models, done)
 
 
+def forest_per_label(
+    df: DataFrame,
+    pairs: DataFrame,
+    id_col: str,
+    label: str,
+    names: Sequence[str],
+    part: str,
+    features: FeatureSet,
+    settings: bagged.Settings | None = None,
+    max_bins: int = 255,
+) -> tuple[DataFrame, DataFrame]:
+    """One forest for each label, all labels in the same jobs: (thresholds, predictions).
+
+    Numbers, a missing one as 0, and the bits column; no categories. Classes
+    are balanced within each bag. Thresholds one step below the best on the
+    'val' rows, from forests of the 'train' rows; predictions of the 'test'
+    rows by forests of both. Defaults are the published size.
+    """
+    settings = settings or bagged.Settings()
+    columns = [f"__y{i}" for i in range(len(names))]
+    ys = labels.label_matrix(pairs, id_col, label, names, columns)
+    learn = f"{_quoted(part)} <> 'test'"
+    binning, table = bagged.encode_rows(df.join(ys, id_col), [id_col, part, *columns], features.numeric, features.bits, features.nbits, learn, max_bins)
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("label"), F.array(*columns).alias("y"), F.col("scores").alias("score")))
+
+    def scored(rows: DataFrame, to: str) -> DataFrame:
+        model = bagged.fit_rows(rows, binning, id_col, columns, settings)
+        out = model.score(table.where(F.col(part) == to), [id_col, *columns])
+        return stored(out.select(id_col, each.alias("e")).select(id_col, "e.*"), "scored")
+
+    val = scored(table.where(F.col(part) == "train"), "val")
+    thresholds = stored(evaluate.stepped_threshold(val, "y", "score", ["label"]).select("label", "threshold"), "thresholds")
+    return thresholds, evaluate.apply_threshold(scored(table.where(learn), "test"), "score", thresholds, ["label"])
+
+
 @dataclass(frozen=True)
 class BoostedLabels:
     """Per-label thresholds, long predictions of the test rows, the trees of all labels.
