@@ -99,22 +99,8 @@ WITH sized AS (
   SELECT source, source_size, total,
          least((3 * source_size)::DOUBLE, coalesce(max(level) FILTER (WHERE level * weight <= 3 * source_size) OVER () * weight, 0.0)) AS target
   FROM levels
-), edges AS (
-  SELECT source, ceil(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * 2147483648)::BIGINT AS edge,
-         row_number() OVER (ORDER BY source NULLS LAST) AS i FROM sources WHERE target > 0
-), cuts AS (
-  SELECT source, coalesce(lag(edge) OVER (ORDER BY i), 0) AS lo,
-         CASE WHEN lead(edge) OVER (ORDER BY i) IS NULL THEN 2147483648 ELSE edge END AS hi FROM edges
-), n AS (
-  SELECT max(total)::BIGINT AS total, greatest(1, (max(total)::BIGINT + 262143) // 262144) AS block FROM sources
-), slots AS (
-  SELECT r AS slot, (r % 2147483648) * 1327217885 % 2147483648 AS point
-  FROM (SELECT unnest(range((SELECT (total + block - 1) // block FROM n))) AS r)
-), reach AS (
-  SELECT source, count(*) * (SELECT block FROM n) AS reach FROM slots JOIN cuts ON point >= lo AND point < hi GROUP BY source
 ), covered AS (
-  SELECT s.source, source_size, target, coalesce(least(reach, 3 * source_size), 0) AS reach
-  FROM sources s LEFT JOIN reach r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT source, source_size, target, CASE WHEN target > 0 THEN least(greatest(1, round(target))::BIGINT, 3 * source_size) ELSE 0 END AS reach FROM sources
 )
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size))
@@ -128,7 +114,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with weights 1, 2, 3 over the sources takes of each document."""
     from casesignal.llm.mixing import mix
 
-    plan = mix(read(spark, sf_dir, "documents"))
+    plan = mix(read(spark, sf_dir, "documents"), exact=True)
     per = plan.sources.select(F.col("source").alias("s"), "source_size", "target")
     out = plan.taken.join(per, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
