@@ -130,16 +130,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), c AS (
-  SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v
+  SELECT rid, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
-  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+  SELECT q.rid AS query, q.vec_id AS query_id, c.rid, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.rid <> c.rid WHERE q.vec_id % 50 = 0 GROUP BY ALL
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+SELECT query_id, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, rid))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 
