@@ -181,6 +181,17 @@ def _breadth_first(fps, places, lo, hi, distance, a, b) -> None:
             left = left[~near]
 
 
+def _grouped(docs: DataFrame, words: int, distance: int, id_col: str, text_col: str, cell_rows: int) -> DataFrame:
+    """``id_col``, fp, root and component_id of every row."""
+    prints = stored(fingerprints(docs.select(F.col(id_col), F.col(text_col)), words=words, id_col=id_col, text_col=text_col), "fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    groups = components(near_links(distinct.select("fp"), distance=distance, cell_rows=cell_rows))
+    rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select(F.col("fp").alias("print"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["print"]).select(id_col, "fp", "root", "component_id")
+
+
 def near_dedup(docs: DataFrame, *, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096) -> DataFrame:
     """``id_col``, fingerprint, component_id of every row of ``docs``.
 
@@ -190,34 +201,35 @@ def near_dedup(docs: DataFrame, *, words: int = 4, distance: int = 4, id_col: st
     smallest id of its group, null if no row of it has one. Repeated rows give
     repeated rows. Words are told apart by their UTF-8, A-Z in lower case.
     """
-    prints = stored(fingerprints(docs.select(F.col(id_col), F.col(text_col)), words=words, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    groups = components(near_links(distinct.select("fp"), distance=distance, cell_rows=cell_rows))
-    rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("print"), "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, prints["fp"] == named["print"]).select(id_col, text.alias("fingerprint"), "component_id")
+    return _grouped(docs, words, distance, id_col, text_col, cell_rows).select(id_col, text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of every group, all columns kept.
+def keep_one(docs: DataFrame, *, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096) -> DataFrame:
+    """One row of every group, all columns kept: the one with the smallest id.
 
-    Rows that repeat the id of the row kept stay with it. Rows without an id
-    stay only where no row of their group has one.
+    Of rows that share that id, and in groups without any id, the smallest
+    fingerprint stays, and of equal ones the smallest row (columns that cannot
+    be compared, such as maps, are an error only where ids repeat or lack).
     """
-    found = near_dedup(docs, words=words, distance=distance, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("keep_id"))
-    named = docs.join(stay, docs[id_col] == stay["keep_id"], "left_semi")
-    # The few rows without an id are told apart by their fingerprints.
+    found = stored(_grouped(docs, words, distance, id_col, text_col, cell_rows), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("fp"))).alias("w"))
+    first = first.select(F.col("w.id").alias("keep_id"), F.col("w.fp").alias("keep_fp"))
+    # Ids that several rows share, or that lack: there a row is more than its id.
+    odd = found.groupBy(F.col(id_col).alias("odd_id")).agg(F.count("*").alias("n")).where("n > 1 OR odd_id IS NULL").select("odd_id")
+    odd = stored(odd, "odd-ids")
+    alone = first.where("keep_id IS NOT NULL").join(odd, F.col("keep_id") == F.col("odd_id"), "left_anti")
+    kept = docs.join(alone, docs[id_col] == alone["keep_id"], "left_semi")
     names = docs.columns
     at = names.index(text_col)
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
         prints = [fingerprint(shingle_hashes(words_of(t), words)) for t in texts_of(batch.column(0).field(at))]
-        return {"row": batch.column(0), "print": [f"{p:016x}" for p in prints]}
-
-    rows = docs.where(F.col(id_col).isNull()).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    rows = arrow_map(rows, of, T.StructType([*rows.schema.fields, T.StructField("print", T.StringType())]))
-    alone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fingerprint").alias("print"))
-    return named.unionByName(rows.join(alone, "print", "left_semi").select("row.*"))
+        return {"row": batch.column(0), "print": np.array(prints, dtype=np.uint64).view(np.int64)}
+
+    rows = docs.join(odd, docs[id_col].eqNullSafe(odd["odd_id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = arrow_map(rows, of, T.StructType([*rows.schema.fields, T.StructField("print", T.LongType())]))
+    same = rows["row"][id_col].eqNullSafe(first["keep_id"]) & (rows["print"] == first["keep_fp"])
+    # Rows of one text meet before the shuffle: only the smallest goes on.
+    best = rows.join(first, same, "left_semi").groupBy("print", F.col("row")[id_col].alias("__id")).agg(F.min("row").alias("row"))
+    return kept.unionByName(best.select("row.*"))

@@ -94,5 +94,17 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(3, 3), (None, 7), (7, 7), (9, 7), (3, 3), (5, 3), (None, 3), (None, None)], key=str)
     kept = keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone here in the world"), (3, rows[0][1]), (3, rows[0][1]), (7, "")]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone here in the world"), (3, rows[0][1]), (7, "")]
     assert near_dedup(df.limit(0)).collect() == []
+
+
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    """Copies without an id, rows that repeat an id, and one id on texts of several groups."""
+    a, b, c = "copies of a text that has no id", "another text of its own group here", "a third one, quite unlike the rest of them"
+    rows = [(None, a, i) for i in range(50)] + [(4, b, i) for i in range(3)] + [(4, c, 9), (6, c, 1), (2, b.upper(), 5), (8, "single row", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, odd_id int").repartition(7)
+    got = sorted(map(tuple, keep_one(df).collect()), key=str)
+    assert got == sorted([(None, a, 0), (2, b.upper(), 5), (4, c, 9), (8, "single row", 0)], key=str)
+    assert keep_one(df.limit(0)).collect() == []
+    same = df.where("doc_id = 4 AND odd_id < 9")
+    assert [tuple(r) for r in keep_one(same).collect()] == [(4, b, 0)]
