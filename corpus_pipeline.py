@@ -54,7 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the hash of what they decode to."""
-    prepare(spark)
+    # Whole texts and their ids pass through Python: small batches bound a worker.
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     out = encode(_documents(docs), piece_model())
     return out.select("doc_id", "lang", "source", "pieces.n_tokens", "pieces.ids", "pieces.decoded_sha256")
 
