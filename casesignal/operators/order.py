@@ -1,42 +1,76 @@
 """Exact ranks, running totals and order statistics without a one-task window.
 
 A window without a (fine) partition key sends all rows to one task. Here the
-rows are spread over buckets of the ordering value: each bucket is summed on
-its own, and the few bucket totals give every bucket its offset. The number of
-buckets follows from the number of rows; every size takes the same path.
+rows are sorted into ranges: each range is summed on its own, and the few range
+totals give every range its offset. Every size takes the same path, and nothing
+but Spark's own bounded sample of range borders reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casesignal.bounds import check_size
 from casesignal.session import stored
 
-# Rows of a bucket, about, and sampled values for each bucket edge.
-BUCKET_ROWS = 20_000
-_SAMPLED = 16
-
 
 def _before(*by: str | Column):
     return Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _edges(base: DataFrame, value: str, buckets: int, rows: int) -> list[float]:
-    """Bucket edges from a sample by hash; only the balance depends on them.
+def _same(a: Sequence[object], b: Sequence[object]) -> bool:
+    """Equal keys; NaN equals NaN and null equals null."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
-    About ``_SAMPLED`` values per bucket reach the driver.
-    """
-    if buckets < 2:
-        return []
-    step = max(1, rows // (buckets * _SAMPLED))
-    v = F.col(value).cast("double")
-    kept = base.where((F.pmod(F.xxhash64(v), F.lit(step)) == 0) & v.isNotNull() & ~F.isnan(v))
-    sample = sorted({r[0] for r in kept.select(v).collect()})
-    return [sample[i * len(sample) // buckets] for i in range(1, buckets)] if sample else []
+
+def _group_starts(batch: pa.RecordBatch, by: Sequence[str], held: list[object] | None) -> np.ndarray:
+    """True at each row whose group differs from the row before; ``held`` is the last group so far."""
+    starts = np.zeros(batch.num_rows, dtype=bool)
+    starts[0] = held is None or not _same(held, [batch.column(c)[0].as_py() for c in by])
+    for c in by:
+        codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        starts[1:] |= codes[1:] != codes[:-1]
+    return starts
+
+
+def _running(value: str, sums: Sequence[str], by: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to sorted batches the range's number, the sums before each row and
+    the value before it, all within its group and range. A task holds a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        held, carried, last = None, dict.fromkeys(sums, 0), None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts = _group_starts(batch, by, held)
+            first = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+            added = [pa.array(np.full(n, place, dtype=np.int32))]
+            for s in sums:
+                column = batch.column(s)
+                own = column.cast(pa.int64() if pa.types.is_integer(column.type) else pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+                up = np.cumsum(own)
+                # What came before the group began; a group held over adds to what is carried.
+                out = up - own - np.where(first >= 0, (up - own)[first], -carried[s])
+                added.append(pa.array(out))
+                carried[s] = (out[-1] + own[-1]).item()
+            values = batch.column(value)
+            shifted = pa.concat_arrays([pa.array([last], type=values.type), values.slice(0, n - 1)])
+            added.append(pc.if_else(pa.array(starts), pa.scalar(None, type=values.type), shifted))
+            held, last = [batch.column(c)[n - 1].as_py() for c in by], values[n - 1].as_py()
+            names = [*batch.schema.names, "__at", *[f"__in_{s}" for s in sums], "__in_top"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    return run
 
 
 def running_totals(
@@ -45,71 +79,54 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     previous: str | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_total`` per group.
 
     ``table`` has one row per (group, value). With ``previous``, a column of
     that name holds the next smaller value of the group. A null in ``by`` is a
     group like any other. A null value comes before all others, NaN after.
+
+    Rows are sorted into ranges of (group, value), so a group may span ranges.
+    Each range is summed as it streams by and written once; its totals, a row
+    for each group in it, give the offsets. There are as many ranges as shuffle
+    partitions, or one for every ``bucket_rows`` rows.
     """
-    by = list(by)
-    base = stored(table, "values")
-    rows = base.count()
-    buckets = max(1, -(-rows // bucket_rows))
-    edges = F.lit(_edges(base, value, buckets, rows)).cast("array<double>")
-    # Edges at or below the value; found by halves, so many edges cost little.
-    placed = base.withColumn("__bucket", _edges_below(edges, F.col(value).cast("double"), buckets))
-
-    totals = placed.groupBy(*by, "__bucket").agg(
-        *[F.sum(s).alias(s) for s in sums], F.max(value).alias("__top")
-    )
-    earlier, whole = _before(*by).orderBy("__bucket"), Window.partitionBy(*by)
+    by, keys = list(by), [*by, value]
+    spark = table.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if bucket_rows is not None:
+        table = stored(table, "values")
+        ranges = max(1, -(-table.count() // bucket_rows))
+    fields = list(table.schema.fields)
+    whole = [isinstance(table.schema[s].dataType, T.IntegralType) for s in sums]
+    fields.append(T.StructField("__at", T.IntegerType()))
+    fields += [T.StructField(f"__in_{s}", T.LongType() if w else T.DoubleType()) for s, w in zip(sums, whole, strict=True)]
+    fields.append(T.StructField("__in_top", table.schema[value].dataType))
+    placed = table.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    local = stored(placed.mapInArrow(_running(value, list(sums), by), T.StructType(fields)), "running")
+
+    totals = local.groupBy(*by, "__at").agg(*[F.sum(s).alias(s) for s in sums], F.max(value).alias("__top"))
+    earlier, group = _before(*by).orderBy("__at"), Window.partitionBy(*by)
     offsets = totals.select(
         *[F.col(c).alias(f"__g_{c}") for c in by],
-        F.col("__bucket").alias("__at"),
+        F.col("__at").alias("__range"),
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__off_{s}") for s in sums],
-        *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
+        *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
         F.max("__top").over(earlier).alias("__off_top"),
     )
-    inside = _before(*by, "__bucket").orderBy(value)
-    local = placed.select(
-        "*",
-        *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__in_{s}") for s in sums],
-        F.max(value).over(inside).alias("__in_top"),
-    )
-    same = F.col("__bucket") == F.col("__at")
+    same = F.col("__at") == F.col("__range")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
     extra = [] if previous is None else [F.coalesce("__in_top", "__off_top").alias(previous)]
     return local.join(offsets, same).select(
-        *base.columns,
+        *table.columns,
         *[(F.col(f"__off_{s}") + F.col(f"__in_{s}")).alias(f"{s}_before") for s in sums],
         *[F.col(f"{s}_total") for s in sums],
         *extra,
     )
 
 
-def _edges_below(edges: Column, value: Column, buckets: int) -> Column:
-    """Number of edges at or below the value; -1 for null, all for NaN."""
-    if buckets < 2:
-        found = F.lit(0)
-    else:
-        steps = F.sequence(F.lit(1), F.lit(max(1, buckets.bit_length())))
-        start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
-
-        def halve(acc: Column, _: Column) -> Column:
-            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-            below = (acc["lo"] < acc["hi"]) & (F.get(edges, mid) <= value)
-            return F.struct(
-                F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-                F.when(below, acc["hi"]).otherwise(F.least(mid, acc["hi"])).alias("hi"),
-            )
-
-        found = F.aggregate(steps, start, halve, lambda acc: acc["lo"])
-    return F.when(value.isNull(), -1).otherwise(found)
-
-
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(group, value, rank): rank from 1, ties share their mean rank."""
     n = F.sum(weight) if weight else F.count(F.lit(1))

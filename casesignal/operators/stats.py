@@ -49,8 +49,13 @@ def spearman(df: DataFrame, props: Sequence[str], targets: Sequence[str], more_t
         .agg(F.count(F.lit(1)).alias("w"))
     )
     cells = stored(counted, "pairs")
-    rank_x = order.average_ranks(cells, "x", key, "w").withColumnRenamed("rank", "rx").drop("n_total")
-    rank_y = order.average_ranks(cells, "y", key, "w").withColumnRenamed("rank", "ry")
+    # Both axes are ranked in one pass.
+    sides = F.explode(
+        F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value"), F.col("w")) for a in ("x", "y")])
+    )
+    ranks = order.average_ranks(cells.select(*key, sides.alias("s")).select(*key, "s.*"), "value", ["axis", *key], "w")
+    rank_x = ranks.where("axis = 'x'").select(*key, F.col("value").alias("x"), F.col("rank").alias("rx"))
+    rank_y = ranks.where("axis = 'y'").select(*key, F.col("value").alias("y"), F.col("rank").alias("ry"), "n_total")
     both = cells.join(rank_x, [*key, "x"]).join(rank_y, [*key, "y"])
     # The mean rank is (n + 1) / 2 with or without ties.
     dx = F.col("rx") - (F.col("n_total") + 1) / 2

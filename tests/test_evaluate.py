@@ -66,6 +66,27 @@ def test_totals_at_any_number_of_buckets(spark, bucket_rows):
         assert (r.prev if r.prev is not None else -1e9) == max(below, default=-1e9)
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_totals_over_batches_and_nan_groups(spark, batch):
+    """Groups of several columns that go on over batches and ranges; NaN is one group."""
+    nan = float("nan")
+    groups = [("a", nan), ("a", 1.0), (None, nan), ("b", None)]
+    rows = [(g, h, v, (v * 5) % 3, v / 4) for g, h in groups for v in range(23)]
+    df = spark.createDataFrame(rows, "g string, h double, v int, n int, x double").repartition(3)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = order.running_totals(df, "v", ["n", "x"], ["g", "h"], "prev", bucket_rows=20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_before == sum((v * 5) % 3 for v in range(r.v)) and r.n_total == sum((v * 5) % 3 for v in range(23))
+        assert r.x_before == sum(v / 4 for v in range(r.v)) and r.prev == (r.v - 1 if r.v else None)
+    empty = order.running_totals(df.limit(0), "v", ["n"], ["g"], "prev")
+    assert empty.collect() == [] and empty.columns == [*df.columns, "n_before", "n_total", "prev"]
+
+
 def test_rows_without_a_threshold_take_the_default(spark):
     df = spark.createDataFrame([("a", 0.4), ("a", 0.9), ("b", 0.4), ("b", 0.6), (None, 0.45)], "label string, score double")
     table = spark.createDataFrame([("a", 0.8), (None, 0.4)], "label string, threshold double")
