@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casesignal.session import stored
@@ -33,6 +33,15 @@ def contingency(pairs: DataFrame, case_id: str, exposure: str, outcome: str) ->
     return _cells(table, exposure, outcome)
 
 
+def marked(df: DataFrame, case_id: str, value: str, mark: str) -> DataFrame:
+    """Distinct (case, value); ``mark`` is 1 for the first value of a case, else 0."""
+    pairs = df.where(F.col(case_id).isNotNull() & F.col(value).isNotNull()).select(case_id, value).distinct()
+    first = pairs.groupBy(F.col(case_id).alias("__case")).agg(F.min(value).alias("__first"))
+    return pairs.join(first, F.col(case_id) == F.col("__case")).select(
+        case_id, value, (F.col(value) == F.col("__first")).cast("long").alias(mark)
+    )
+
+
 def contingency_from_sides(
     exposures: DataFrame, outcomes: DataFrame, case_id: str, exposure: str, outcome: str
 ) -> DataFrame:
@@ -42,20 +51,13 @@ def contingency_from_sides(
     at most |exposure names| x |outcome terms| rows. The first exposure and the
     first outcome of each case are marked; summing the marks over the joined
     rows gives both margins and N, so the joined rows are aggregated once. That
-    (exposure, outcome) table is stored; the rest works on it alone. The marks
-    need the same partitioning by case as the join, hence no extra shuffle.
+    (exposure, outcome) table is stored; the rest works on it alone. The first
+    values are combined before they are shuffled and joined back, so no window
+    holds a case: a case with very many values can be split over tasks.
     """
-    by_case = Window.partitionBy(case_id)
-
-    def marked(df: DataFrame, value: str, mark: str) -> DataFrame:
-        return (
-            df.where(F.col(case_id).isNotNull() & F.col(value).isNotNull())
-            .select(case_id, value)
-            .distinct()
-            .withColumn(mark, (F.col(value) == F.min(value).over(by_case)).cast("long"))
-        )
 
-    joined = marked(exposures, exposure, "__e1").join(marked(outcomes, outcome, "__o1"), case_id)
+    e, o = marked(exposures, case_id, exposure, "__e1"), marked(outcomes, case_id, outcome, "__o1")
+    joined = e.join(o, case_id)
     counted = joined.groupBy(exposure, outcome).agg(
         F.count(F.lit(1)).alias("a"),
         F.sum("__o1").alias("__e_cases"),

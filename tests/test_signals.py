@@ -55,3 +55,22 @@ def test_measures(spark):
     assert math.isclose(got["z"]["PRR_L"], math.exp(math.log(prr) - 1.96 * se))
     for r in got.values():
         assert r["PRR_L"] <= r["PRR"] <= r["PRR_H"] and r["ROR_L"] <= r["ROR"] <= r["ROR_H"]
+
+
+def test_one_case_of_very_many_values(spark, capsys):
+    """A third of all rows in one case: exact margins, and no window that would hold the case in one task."""
+    hot = spark.range(100_000).selectExpr("1L AS case", "concat('x', id) AS drug")
+    cold = spark.range(200_000).selectExpr("id + 2 AS case", "concat('x', id % 50) AS drug")
+    drug = hot.unionByName(cold).unionByName(hot.limit(10))
+    reac = spark.createDataFrame([(1, "t1"), (1, "t2"), (None, "t1"), (2, "t1"), (52, "t1"), (-5, "t2")], "case long, pt string")
+    table = signals.contingency_from_sides(drug, reac, "case", "drug", "pt")
+    got = cells(table.where("drug IN ('x0', 'x1', 'x99999')"))
+    # Three cases on both sides: 1, 2 and 52; x0 in all of them.
+    assert got == {
+        ("x0", "t1"): (3, 0, 0, 0), ("x0", "t2"): (1, 2, 0, 0), ("x1", "t1"): (1, 0, 2, 0), ("x1", "t2"): (1, 0, 0, 2),
+        ("x99999", "t1"): (1, 0, 2, 0), ("x99999", "t2"): (1, 0, 0, 2),
+    }
+    assert table.count() == 200_000
+    capsys.readouterr()
+    signals.marked(drug, "case", "drug", "m").explain()
+    assert "Window" not in capsys.readouterr().out
