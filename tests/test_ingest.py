@@ -1,5 +1,7 @@
 """Delimited text with drifting headers, and the other sources and sinks."""
 
+import gzip
+
 import pytest
 
 from casesignal.operators import aggregate
@@ -37,6 +39,49 @@ def test_latin1_and_backslash(spark, raw):
     assert sorted(r["DRUGNAME"] for r in rows) == ["A\\B", "caf\xe9"]
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    """A quoted line break is part of its field; files without one are still split."""
+    (tmp_path / "REAC_1.txt").write_text('primaryid$pt\n1$"line one\nline two"\n2$plain\n3$"two ""marks"" here"\n4$"a\n\nb$c"$surplus\n')
+    (tmp_path / "REAC_2.txt").write_text('PRIMARYID$PT\n5$"closed"\n')
+    files = text.look_at(spark, text.list_files(spark, str(tmp_path), "REAC*"), "$", "ISO-8859-1")
+    assert [(f.header, f.whole) for f in files] == [(("PRIMARYID", "PT"), True), (("PRIMARYID", "PT"), False)]
+    got = text.read_case_table(spark, str(tmp_path), "REAC")
+    assert {tuple(r) for r in got.rows.collect()} == {("1", "line one\nline two"), ("2", "plain"), ("3", 'two "marks" here'), ("5", "closed")}
+    bad = got.rejected.collect()
+    assert len(bad) == 1 and bad[0].line.startswith('4$"a\n') and bad[0].error is None
+
+
+def test_unreadable_files_are_set_aside(spark, tmp_path):
+    """Broken from the start, or halfway: no row of such a file is taken."""
+    many = "primaryid$pt\n" + "".join(f"{i}${i * i % 9973}x{i * 7919 % 10007}\n" for i in range(200_000))
+    (tmp_path / "REAC_a.txt.gz").write_bytes(gzip.compress(b"primaryid$pt\n1$one\n"))
+    (tmp_path / "REAC_b.txt.gz").write_bytes(b"no archive at all")
+    (tmp_path / "REAC_c.txt.gz").write_bytes(gzip.compress(many.encode())[:-2000])
+    (tmp_path / "REAC_d.txt.gz").write_bytes(gzip.compress(b"pt$primaryid\ntwo$2\n"))
+    (tmp_path / "REAC_e.txt").write_bytes(b"")
+    got = text.read_text_table(spark, str(tmp_path), ["PRIMARYID", "PT"], "REAC*")
+    assert {tuple(r) for r in got.rows.collect()} == {("1", "one"), ("2", "two")}
+    bad = {r.file.rsplit("/", 1)[1]: r for r in got.rejected.collect()}
+    assert sorted(bad) == ["REAC_b.txt.gz", "REAC_c.txt.gz"] and all(r.line is None and r.error for r in bad.values())
+
+
+def test_many_files_are_looked_at_in_one_job(spark, tmp_path):
+    """Blank lines before a header, a byte order mark, a name twice, files of one line."""
+    for i in range(60):
+        (tmp_path / f"REAC_{i}.txt").write_text(f"{chr(10) * (i % 2)}PrimaryId$PT${'PT' if i % 3 else 'other'}\n{i}$p{i}$no\n")
+    (tmp_path / "REAC_mark.txt").write_bytes(b"\xef\xbb\xbfprimaryid$pt\n100$x\n")
+    (tmp_path / "REAC_none.txt").write_text("primaryid$pt\n")
+    spark.sparkContext.setJobGroup("look", "look")
+    try:
+        files = text.look_at(spark, text.list_files(spark, str(tmp_path), "*.txt"), "$", "ISO-8859-1")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("look")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(files) == 62 and len(jobs) < 10
+    got = text.read_case_table(spark, str(tmp_path), "REAC").rows
+    assert {tuple(r) for r in got.collect()} == {(str(i), f"p{i}") for i in range(60)} | {("100", "x")}
+
+
 def test_no_files(spark, tmp_path):
     got = text.read_case_table(spark, str(tmp_path), "REAC")
     assert got.rows.columns == ["PRIMARYID", "PT"] and got.rows.count() == 0
