@@ -3,13 +3,23 @@
 Known shapes are assignments to a secret's name, access keys, and long hex.
 The method adds ``random`` spans. A candidate is a run of 16 characters or more
 of the base64 alphabets whose encoding can be inferred: digits and letters, of
-one case also with + / _ - between, or letters of both cases. Under "the characters are drawn evenly and independently" it gets a
-chi-squared statistic of its alphabet counts, a runs test about the middle of
+one case also with + / _ - between, or letters of both cases. It must meet two
+conditions.
+
+The battery: under "the characters are drawn evenly and independently" it gets
+a chi-squared statistic of its alphabet counts, a runs test about the middle of
 the alphabet, and a serial correlation; the three p-values are combined by
-Bonferroni. Benjamini-Hochberg then finds the candidates that are *not* random,
-within each encoding and doubling of the length: a long string has evidence
-enough to be told from random text, a short one must not borrow its threshold.
-What is left is a random span.
+Bonferroni, and Benjamini-Hochberg sets aside those that are *not* random.
+
+The discovery: the null says "written like the corpus". A model of which
+character follows which is counted from the corpus's own runs. With P the
+model's probability of the string and Q that of even draws, Q / P has mean one
+at most under the null, so P / Q bounds the p-value whatever the length.
+Benjamini-Hochberg on it bounds the share of text among the reported spans.
+
+Both work within each encoding and doubling of the length: a long string has
+evidence enough, a short one must not borrow its threshold. Equal strings are
+one hypothesis.
 
 All of it is DataFrame functions: expressions on the text's row, and one small
 aggregate of p-values in steps of 1 / ``STEPS``.
@@ -17,6 +27,9 @@ aggregate of p-values in steps of 1 / ``STEPS``.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +62,20 @@ ENCODINGS = (
     (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z+/_-]+$", _UPPER + _LOWER + "+/-_"),
 )
 STEPS = 10_000
+#: Matches that one fold puts in a list.
+BLOCK = 256
+#: Runs of fewer characters are words; longer ones are candidates.
+LONG = 16
+RUN = r"[A-Za-z0-9+/_-]+"
+#: Symbols of the text model: letters of either case, any digit, any mark.
+SYMBOLS = _LOWER + "0-"
+#: Letters of English text in per cent, a to z; then digits and marks.
+_PER_CENT = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074, 4.0, 1.5)
+#: What the model expects before it has seen anything, and how many characters that is worth.
+PRIOR = tuple(x / sum(_PER_CENT) for x in _PER_CENT)
+WORTH = 20
+#: Steps of a discovery's -ln p, in tenths.
+TENTHS = 5000
 
 _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 
@@ -56,14 +83,14 @@ _SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Start, end and text of each match, by code points; ``group`` of ``least`` or more.
 
-    The pieces between matches give the places.
+    The pieces between matches give the places. They are added up in blocks of
+    ``BLOCK`` and then over the blocks: one fold over all of them would copy its
+    list at every match.
     """
     p = F.lit(pattern)
     zipped = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("part")
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(_SPAN).alias("found"))
-    start = start.withField("found", F.array().cast(_SPAN))
 
     def step(acc: Column, z: Column) -> Column:
         lo = acc["at"] + F.length(z["gap"])
@@ -72,7 +99,17 @@ def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colu
         good = z["hit"].isNotNull() & (F.length(z["part"]) >= least)
         return F.struct(hi.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["text"].alias("text")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    def nothing(kind: str) -> Column:
+        return F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+
+    # Blocks of the array itself, so each is cut out once.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.transform(cut, lambda part: F.aggregate(part, nothing(_SPAN), step))
+    found = F.aggregate(blocks, nothing(f"array<{_SPAN}>"), join, lambda acc: F.flatten(acc["found"]))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -155,23 +192,89 @@ def _tested(rows: Column) -> Column:
     return _with(rows, p=lambda s: F.least(F.lit(1.0), 3 * worst(s)))
 
 
-def _candidates(text: Column) -> Column:
-    """start, end, group (encoding and doubling of the length) and step of the p-value."""
+@dataclass(frozen=True)
+class TextModel:
+    """``logs``: ln of the probability of each symbol after each other (none first);
+    ``hold``, ``turn``: ln of a letter's keeping or changing the case of the letter before."""
+
+    logs: list[float]
+    hold: float
+    turn: float
+
+
+def _symbols(text: Column) -> Column:
+    """Numbers from 1 in SYMBOLS of the characters."""
+    folded = F.translate(F.lower(text), "0123456789+/_-", "0000000000----")
+    return F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(SYMBOLS)))
+
+
+def _pairs(text: Column) -> Column:
+    """Number of each character's pair with the one before, none for the first."""
+    now = _symbols(text)
+    before = F.concat(F.array(F.lit(0)), F.slice(now, 1, F.size(now) - 1))
+    return F.zip_with(before, now, lambda a, b: a * len(SYMBOLS) + b - 1)
+
+
+_LETTERS, _TURNS = r"(?<=[A-Za-z])(?=[A-Za-z])", r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+
+
+def text_model(docs: DataFrame, text_col: str = "text") -> TextModel:
+    """The model of the runs of all texts, each as often as it occurs.
+
+    A run of ``LONG`` characters or more that occurs once is left out: it may be
+    what is looked for. At most len(SYMBOLS) * (len(SYMBOLS) + 1) counts are fetched.
+    """
+    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0))).alias("run"))
+    runs = runs.groupBy("run").agg(F.count("*").alias("n")).where((F.length("run") < LONG) | (F.col("n") > 1))
+    case = F.struct(F.lit(-1).alias("pair"), F.regexp_count("run", F.lit(_LETTERS)).cast("long").alias("n"))
+    turns = F.struct(F.lit(-2).alias("pair"), F.regexp_count("run", F.lit(_TURNS)).cast("long").alias("n"))
+    each = F.concat(F.transform(_pairs(F.col("run")), lambda x: F.struct(x.alias("pair"), F.lit(1).cast("long").alias("n"))), F.array(case, turns))
+    rows = runs.select("n", F.explode(each).alias("e")).groupBy(F.col("e.pair").alias("pair")).agg(F.sum(F.col("n") * F.col("e.n")).alias("n"))
+    n = {r["pair"]: r["n"] for r in rows.collect()}
+    k = len(SYMBOLS)
+    logs = []
+    for a in range(k + 1):
+        total = sum(n.get(a * k + b, 0) for b in range(k))
+        logs += [math.log((n.get(a * k + b, 0) + WORTH * PRIOR[b]) / (total + WORTH)) for b in range(k)]
+    turn = (n.get(-2, 0) + WORTH / 10) / (n.get(-1, 0) + WORTH)
+    return TextModel(logs, math.log(1 - turn), math.log(turn))
+
+
+def _evidence(s: Column, model: TextModel) -> Column:
+    """ln Q / P: by how much even draws from the encoding explain the string better than the text model.
+
+    The case of a letter that follows none is taken as given.
+    """
+    logs, text = F.array(*[F.lit(x) for x in model.logs]), s["text"]
+    written = _sum(F.transform(_pairs(text), lambda x: F.get(logs, x)))
+    digits, marks = (F.regexp_count(text, F.lit(p)) for p in ("[0-9]", "[+/_-]"))
+    letters, turns = (F.regexp_count(text, F.lit(p)) for p in (_LETTERS, _TURNS))
+    written = written - digits * math.log(10) - marks * math.log(4) + turns * model.turn + (letters - turns) * model.hold
+    return -s["n"] * F.ln(s["k"]) - written
+
+
+def _candidates(text: Column, model: TextModel) -> Column:
+    """start, end, group (encoding and doubling of the length), step of the
+    battery's p-value, tenths of the discovery's -ln p, and the string's hash."""
     found = _matches(text, CANDIDATE)
     found = _with(found, enc=lambda s: _encoding(s["text"]))
     found = _tested(F.filter(found, lambda s: s["enc"].isNotNull()))
 
     def result(s: Column) -> Column:
         doubling = F.floor(F.log2(s["n"])).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (doubling * len(ENCODINGS) + s["enc"]).alias("group"), F.ceil(s["p"] * STEPS).cast("int").alias("step"))
+        tenths = F.greatest(F.lit(0), F.least(F.lit(TENTHS), F.floor(10 * _evidence(s, model)).cast("int")))
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), (doubling * len(ENCODINGS) + s["enc"]).alias("group"),
+            F.ceil(s["p"] * STEPS).cast("int").alias("step"), tenths.alias("tenths"), F.xxhash64(s["text"]).alias("hash"),
+        )
 
     return F.transform(found, result)
 
 
 def not_random(tests: DataFrame, rate: float = 0.05) -> DataFrame:
-    """``group`` and the last ``step`` at which Benjamini-Hochberg rejects.
+    """``group`` and the last ``step`` at which Benjamini-Hochberg rejects "random".
 
-    ``tests`` has a row (group, step) for each candidate. A p-value counts as
+    ``tests`` has a row (group, step) for each string. A p-value counts as
     its step's upper end.
     """
     bins = tests.groupBy("group", "step").agg(F.count("*").alias("n"))
@@ -181,34 +284,65 @@ def not_random(tests: DataFrame, rate: float = 0.05) -> DataFrame:
     return bins.where("ok").groupBy("group").agg(F.max("step").alias("last"))
 
 
+def not_text(tests: DataFrame, rate: float = 0.05) -> DataFrame:
+    """``group`` and the least ``tenths`` at which Benjamini-Hochberg rejects "written like the corpus"."""
+    bins = tests.groupBy("group", "tenths").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("group").orderBy(F.desc("tenths")).rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum("n").over(down) / F.sum("n").over(Window.partitionBy("group"))
+    bins = bins.withColumn("ok", F.exp(-F.col("tenths") / 10) <= share * rate)
+    return bins.where("ok").groupBy("group").agg(F.min("tenths").alias("first"))
+
+
+def _limits(rows: DataFrame, absent: int) -> Column:
+    """The limit of each group, by its number. Groups: encodings times doublings of a length, below 400."""
+    found = {r[0]: r[1] for r in rows.collect()}
+    return F.array(*[F.lit(found.get(i, absent)) for i in range(max(found, default=0) + 1)])
+
+
+def _last_before(spans: Column, end: Column) -> Column:
+    """End of the last of ``spans`` that starts before ``end``; they are in order and apart. Found by halves."""
+    halves = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))) + 1)
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = (acc["lo"] < acc["hi"]) & (F.get(spans, mid)["start"] < end)
+        return F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(halves, start, halve, lambda acc: F.get(spans, acc["lo"] - 1)["end"])
+
+
 def find_secrets(docs: DataFrame, *, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``base`` and ``spans``: arrays of (start, kind number, end).
 
     ``base`` holds the known shapes, ``spans`` also the random strings that
     overlap none of them; both by start, then kind as listed in KINDS. Places
     are code points, the end exclusive. A null text is empty. Repeated rows
-    give repeated rows. ``rate`` bounds the share of random strings among those
-    that are set aside.
+    give repeated rows. ``rate`` bounds the share of text-like strings among the
+    random ones, and of random strings among those that the battery sets aside.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    model = text_model(docs, text_col)
 
     def of(kind: int, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    known = F.concat(of(0, _matches(text, ASSIGN, 2, 12)), of(1, _matches(text, ACCESS)), of(2, _matches(text, HEX)))
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.array_sort(known).alias("base"), _candidates(text).alias("tests")), "secrets")
-    tests = rows.select(F.explode("tests").alias("t")).select("t.group", "t.step")
-    # Groups: encodings times doublings of a length, below 400.
-    last = {r["group"]: r["last"] for r in not_random(tests, rate).collect()}
-    limits = F.array(*[F.lit(last.get(i, -1)) for i in range(max(last, default=0) + 1)])
+    shapes = (_matches(text, ASSIGN, 2, 12), _matches(text, ACCESS), _matches(text, HEX))
+    known = [of(i, m).alias(KINDS[i]) for i, m in enumerate(shapes)]
+    rows = stored(docs.select(F.col(id_col).alias("id"), *known, _candidates(text, model).alias("tests")), "secrets")
+    tests = rows.select(F.explode("tests").alias("t")).groupBy("t.group", "t.hash")
+    tests = stored(tests.agg(F.max("t.step").alias("step"), F.max("t.tenths").alias("tenths")), "secret-tests")
+    last, first = _limits(not_random(tests, rate), -1), _limits(not_text(tests, rate), TENTHS + 1)
 
     def passes(t: Column) -> Column:
-        limit = F.coalesce(F.get(limits, t["group"]), F.lit(-1))
-        apart = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return (t["step"] > limit) & apart
+        drawn = t["step"] > F.coalesce(F.get(last, t["group"]), F.lit(-1))
+        unlike = t["tenths"] >= F.coalesce(F.get(first, t["group"]), F.lit(TENTHS + 1))
+        met = [F.coalesce(_last_before(F.col(k), t["end"]) > t["start"], F.lit(False)) for k in KINDS[:3]]
+        return drawn & unlike & ~(met[0] | met[1] | met[2])
 
+    base = F.array_sort(F.concat(*KINDS[:3]))
     random = of(3, F.filter("tests", passes))
-    return rows.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", random)).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), base.alias("base"), F.array_sort(F.concat(base, random)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

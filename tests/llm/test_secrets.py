@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from casesignal.llm.registry import op2_secrets
-from casesignal.llm.secrets import ENCODINGS, KINDS, STEPS, find_secrets
+from casesignal.llm.secrets import ENCODINGS, KINDS, PRIOR, STEPS, SYMBOLS, TENTHS, find_secrets
 
 PLAIN = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
@@ -45,23 +45,53 @@ def plain_p(text, alphabet):
     return min(1, 3 * min(even, order, link))
 
 
+def plain_evidence(texts):
+    """ln Q / P of a string and the size of its alphabet, by the model of the texts' runs."""
+    symbol = lambda c: SYMBOLS.index("0" if c.isdigit() else c.lower() if c.isalpha() else "-")
+    runs = Counter(r for t in texts for r in re.findall("[A-Za-z0-9+/_-]+", t or ""))
+    after, letters, turns = defaultdict(Counter), 0, 0
+
+    def case(run):
+        both = [a.islower() != b.islower() for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha()]
+        return len(both), sum(both)
+
+    for run, n in runs.items():
+        if len(run) < 16 or n > 1:
+            for a, b in zip([None, *map(symbol, run)], map(symbol, run)):
+                after[a][b] += n
+            letters, turns = letters + n * case(run)[0], turns + n * case(run)[1]
+    turn = (turns + 2) / (letters + 20)
+
+    def evidence(run, k):
+        p = sum(math.log((after[a][b] + 20 * PRIOR[b]) / (sum(after[a].values()) + 20)) for a, b in zip([None, *map(symbol, run)], map(symbol, run)))
+        p -= sum(math.log(10) if c.isdigit() else 0 if c.isalpha() else math.log(4) for c in run)
+        two, changed = case(run)
+        return -len(run) * math.log(k) - p - changed * math.log(turn) - (two - changed) * math.log(1 - turn)
+
+    return evidence
+
+
 def plain_spans(texts, rate=0.05):
-    tests, groups = [], defaultdict(list)
+    tests, groups = [], defaultdict(dict)
+    evidence = plain_evidence(texts)
     for i, t in enumerate(texts):
         for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t or ""):
             enc = next((e for e, (p, _) in enumerate(ENCODINGS) if re.match(p, m[0])), None)
             if enc is not None:
                 step = math.ceil(plain_p(m[0], ENCODINGS[enc][1]) * STEPS)
+                tenths = max(0, min(TENTHS, math.floor(10 * evidence(m[0], len(ENCODINGS[enc][1])))))
                 group = (enc, int(math.log2(len(m[0]))))
-                groups[group].append(step)
-                tests.append((i, m.start(), m.end(), group, step))
-    last = {}
-    for g, steps in groups.items():
-        steps.sort()
+                groups[group][m[0]] = (step, tenths)
+                tests.append((i, m.start(), m.end(), group, step, tenths))
+    last, first = {}, {}
+    for g, found in groups.items():
+        steps, weights = zip(*found.values())
         last[g] = max((s for s in steps if s / STEPS <= sum(x <= s for x in steps) / len(steps) * rate), default=-1)
-    out = [plain_base(t) for t in texts]
-    for i, lo, hi, g, step in tests:
-        if step > last[g] and not any(a < hi and lo < b for a, _, b in plain_base(texts[i])):
+        first[g] = min((w for w in weights if math.exp(-w / 10) <= sum(x >= w for x in weights) / len(weights) * rate), default=TENTHS + 1)
+    base = [plain_base(t) for t in texts]
+    out = [list(b) for b in base]
+    for i, lo, hi, g, step, tenths in tests:
+        if step > last[g] and tenths >= first[g] and not any(a < hi and lo < b for a, _, b in base[i]):
             out[i].append((lo, 3, hi))
     return [sorted(x) for x in out]
 
@@ -120,3 +150,37 @@ def test_letters_of_both_cases(spark):
     df = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
     found = [[tuple(s) for s in r.spans] for r in find_secrets(df).collect()]
     assert sum(f == [(4, 3, 24)] for f in found) >= 54
+
+
+NAMES = (
+    "the-quick-brown-fox-7", "usr/local/lib/python3", "ArrayIndexOutOfBoundsException", "MacBookProRetina15", "handleClickOutsideMenu",
+    "section-4-paragraph-2", "config/settings/base2", "lib/x86_64-linux-gnu", "getElementsByClassName", "docs/release-notes-12", "InternalServerError500",
+    "user_profile_picture_2", "build/output/main2/app", "EnableDarkModeByDefault", "chapter-10-verse-22", "src/components/Button3", "parseJsonResponseBody",
+    "windows-server-2019-core", "NullPointerException8", "tests/unit/helpers_v2",
+)
+
+
+def test_identifiers_are_not_reported_and_keys_are(spark):
+    """At most ``rate`` of the spans are spelled-out names; nine in ten keys are found."""
+    rng = random.Random(11)
+    letters = ENCODINGS[4][1][:62]
+    texts, keys = [], {}
+    for i in range(400):
+        words = rng.sample(NAMES, 6)
+        if i % 20 == 0:
+            keys[i] = "".join(rng.choices(letters, k=rng.choice([24, 32, 40])))
+            words.insert(3, keys[i])
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r.doc_id, texts[r.doc_id][s.start : s.end]) for r in find_secrets(df).collect() for s in r.spans]
+    right = sum(keys.get(i) == t for i, t in found)
+    assert right >= 0.9 * len(keys) and len(found) - right <= 0.05 * len(found)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Time is linear in the matches: 100,000 of them, each also a candidate."""
+    rng = random.Random(2)
+    text = " ".join("%016x" % rng.getrandbits(64) for _ in range(100_000)) + " password=abcdefghijklmnop"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = find_secrets(df).collect()
+    assert [tuple(s) for s in row.base] == plain_base(text)
