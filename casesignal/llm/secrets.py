@@ -19,7 +19,7 @@ Benjamini-Hochberg on it bounds the share of text among the reported spans.
 
 Both work within each encoding and doubling of the length: a long string has
 evidence enough, a short one must not borrow its threshold. Equal strings are
-one hypothesis.
+one hypothesis, and a run that meets a known shape is none.
 
 All of it is DataFrame functions: expressions on the text's row, and one small
 aggregate of p-values in steps of 1 / ``STEPS``.
@@ -106,10 +106,13 @@ def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colu
     def nothing(kind: str) -> Column:
         return F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
 
-    # Blocks of the array itself, so each is cut out once.
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
-    blocks = F.transform(cut, lambda part: F.aggregate(part, nothing(_SPAN), step))
-    found = F.aggregate(blocks, nothing(f"array<{_SPAN}>"), join, lambda acc: F.flatten(acc["found"]))
+    def all_blocks(z: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(places, lambda b: F.aggregate(F.slice(z, b * BLOCK + 1, F.lit(BLOCK)), nothing(_SPAN), step))
+        return F.aggregate(blocks, nothing(f"array<{_SPAN}>"), join, lambda acc: F.flatten(acc["found"]))
+
+    # A list of one, so that the matches are found once and not for every block.
+    found = F.element_at(F.transform(F.array(zipped), all_blocks), 1)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -253,10 +256,9 @@ def _evidence(s: Column, model: TextModel) -> Column:
     return -s["n"] * F.ln(s["k"]) - written
 
 
-def _candidates(text: Column, model: TextModel) -> Column:
+def _tests(found: Column, model: TextModel) -> Column:
     """start, end, group (encoding and doubling of the length), step of the
     battery's p-value, tenths of the discovery's -ln p, and the string's hash."""
-    found = _matches(text, CANDIDATE)
     found = _with(found, enc=lambda s: _encoding(s["text"]))
     found = _tested(F.filter(found, lambda s: s["enc"].isNotNull()))
 
@@ -327,22 +329,26 @@ def find_secrets(docs: DataFrame, *, rate: float = 0.05, id_col: str = "doc_id",
     def of(kind: int, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
+    def apart(t: Column) -> Column:
+        met = [F.coalesce(_last_before(F.col(k), t["end"]) > t["start"], F.lit(False)) for k in KINDS[:3]]
+        return ~(met[0] | met[1] | met[2])
+
     shapes = (_matches(text, ASSIGN, 2, 12), _matches(text, ACCESS), _matches(text, HEX))
     known = [of(i, m).alias(KINDS[i]) for i, m in enumerate(shapes)]
-    rows = stored(docs.select(F.col(id_col).alias("id"), *known, _candidates(text, model).alias("tests")), "secrets")
+    # Stored, so that no lambda below finds the matches again.
+    rows = stored(docs.select(F.col(id_col).alias("id"), *known, _matches(text, CANDIDATE).alias("found")), "secret-matches")
+    base = F.array_sort(F.concat(*KINDS[:3])).alias("base")
+    rows = stored(rows.select("id", base, _tests(F.filter("found", apart), model).alias("tests")), "secrets")
     tests = rows.select(F.explode("tests").alias("t")).groupBy("t.group", "t.hash")
     tests = stored(tests.agg(F.max("t.step").alias("step"), F.max("t.tenths").alias("tenths")), "secret-tests")
     last, first = _limits(not_random(tests, rate), -1), _limits(not_text(tests, rate), TENTHS + 1)
 
     def passes(t: Column) -> Column:
         drawn = t["step"] > F.coalesce(F.get(last, t["group"]), F.lit(-1))
-        unlike = t["tenths"] >= F.coalesce(F.get(first, t["group"]), F.lit(TENTHS + 1))
-        met = [F.coalesce(_last_before(F.col(k), t["end"]) > t["start"], F.lit(False)) for k in KINDS[:3]]
-        return drawn & unlike & ~(met[0] | met[1] | met[2])
+        return drawn & (t["tenths"] >= F.coalesce(F.get(first, t["group"]), F.lit(TENTHS + 1)))
 
-    base = F.array_sort(F.concat(*KINDS[:3]))
     random = of(3, F.filter("tests", passes))
-    return rows.select(F.col("id").alias(id_col), base.alias("base"), F.array_sort(F.concat(base, random)).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

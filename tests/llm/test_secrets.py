@@ -74,8 +74,11 @@ def plain_evidence(texts):
 def plain_spans(texts, rate=0.05):
     tests, groups = [], defaultdict(dict)
     evidence = plain_evidence(texts)
+    base = [plain_base(t) for t in texts]
     for i, t in enumerate(texts):
         for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t or ""):
+            if any(a < m.end() and m.start() < b for a, _, b in base[i]):
+                continue
             enc = next((e for e, (p, _) in enumerate(ENCODINGS) if re.match(p, m[0])), None)
             if enc is not None:
                 step = math.ceil(plain_p(m[0], ENCODINGS[enc][1]) * STEPS)
@@ -88,10 +91,9 @@ def plain_spans(texts, rate=0.05):
         steps, weights = zip(*found.values())
         last[g] = max((s for s in steps if s / STEPS <= sum(x <= s for x in steps) / len(steps) * rate), default=-1)
         first[g] = min((w for w in weights if math.exp(-w / 10) <= sum(x >= w for x in weights) / len(weights) * rate), default=TENTHS + 1)
-    base = [plain_base(t) for t in texts]
     out = [list(b) for b in base]
     for i, lo, hi, g, step, tenths in tests:
-        if step > last[g] and tenths >= first[g] and not any(a < hi and lo < b for a, _, b in base[i]):
+        if step > last[g] and tenths >= first[g]:
             out[i].append((lo, 3, hi))
     return [sorted(x) for x in out]
 
