@@ -55,7 +55,6 @@ def contingency_from_sides(
     values are combined before they are shuffled and joined back, so no window
     holds a case: a case with very many values can be split over tasks.
     """
-
     e, o = marked(exposures, case_id, exposure, "__e1"), marked(outcomes, case_id, outcome, "__o1")
     joined = e.join(o, case_id)
     counted = joined.groupBy(exposure, outcome).agg(
