@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,23 +67,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def ascii_lower(col: Column) -> Column:
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(col: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def empty_as_null(frame: DataFrame, *required: str) -> DataFrame:
-    missing = [c for c in required if c not in frame.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    return frame
-
-
-def ragged_starts(lengths: np.ndarray) -> np.ndarray:
-    starts = np.zeros(len(lengths) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=starts[1:])
-    return starts
