@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casesignal.llm import kneser_ney as kn
+from casesignal.llm import quality_rules as qr
 from casesignal.llm.boosting import fit
 from casesignal.llm.doc_stats import FEATURES, base_counts, features
 from casesignal.llm.quality_model import held_out, keep_good, score, train
@@ -42,12 +43,13 @@ def test_base_counts(text):
 
 
 def plain_kneser_ney(texts):
-    """log10 probability of each text by dictionaries, from the definition."""
-    seqs = [[0, 0, 0] + [int(kn.CLASS_OF[b]) for b in t] for t in texts]
-    levels = {4: Counter(tuple(s[i - 3 : i + 1]) for s in seqs for i in range(3, len(s)))}
-    for k in (3, 2, 1):
+    """log10 probability of each text of a language by dictionaries, from the definition."""
+    top = kn.ORDER
+    seqs = [[kn.BEGIN] * (top - 1) + list(t) for t in texts]
+    levels = {top: Counter(tuple(s[i - top + 1 : i + 1]) for s in seqs for i in range(top - 1, len(s)))}
+    for k in range(top - 1, 0, -1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
-    cut = {k: kn.discounts(np.array(list(v.values()))) for k, v in levels.items()}
+    cut = {k: kn.discounts(*[sum(n == i for n in v.values()) for i in (1, 2, 3, 4)]) for k, v in levels.items()}
     total, lost = defaultdict(int), defaultdict(float)
     for k, v in levels.items():
         for g, n in v.items():
@@ -57,33 +59,104 @@ def plain_kneser_ney(texts):
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / 64
+            return 1 / 256
         if not total[g[:-1], k]:
             return p(g[1:])
         n = levels[k][g]
         own = n - cut[k][min(n, 3) - 1] if n else 0
         return own / total[g[:-1], k] + lost[g[:-1], k] / total[g[:-1], k] * p(g[1:])
 
-    return p, [sum(math.log10(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) for s in seqs]
-
-
-def test_kneser_ney_equals_the_definition():
-    texts = [b"the theme of the then", b"Other #1 thing\n", b"", b"\x00\x01 odd", "éàü the".encode(), b"then" * 9]
-    p, want = plain_kneser_ney(texts)
-    model = kn.estimate(*kn.count(texts))
-    got, sizes = kn.total_log10(model, texts)
-    assert np.allclose(got, want) and sizes.tolist() == [len(t) for t in texts]
-    assert np.allclose([sum(p((1, 2, 3, c)) for c in range(64)), (10 ** model.log10(np.arange(64) + 4096 * 20)).sum()], 1)
-    unseen = b"zzz quite new"
-    grams, _ = kn.codes([unseen])
-    assert np.allclose(10 ** model.log10(grams), [p(tuple(int(g) >> s & 63 for s in (18, 12, 6, 0))) for g in grams])
+    return p, [sum(math.log10(p(tuple(s[i - top + 1 : i + 1]))) for i in range(top - 1, len(s))) for s in seqs]
+
+
+SAMPLE = ["the theme of the then", "Other #1 thing\n", "", "\x00\x01 odd", "\u00e9\u00e0\u00fc the", "then" * 9]
+
+
+def number(text, lang):
+    return int.from_bytes(text, "big") | lang << kn.LANG_SHIFT
+
+
+def test_models_equal_the_definition(spark):
+    rows = [(t, lang) for t in SAMPLE for lang in ("xx", "yy", None)] + [("only here, of one language", "yy")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    known = qr.languages(df)
+    assert sorted(known.values()) == [1, 2, 3] and known["yy"] == 1
+    model = qr.language_models(df, known)
+    for lang, of in known.items():
+        texts = [t.encode() for t, x in rows if x == lang]
+        p, want = plain_kneser_ney(texts)
+        assert np.allclose(kn.total_log10(model, texts, [of] * len(texts)), want)
+        unseen = b"zzz quite new"
+        padded = bytes([kn.BEGIN]) * 5 + unseen
+        own = [p(tuple(padded[i : i + 6])) for i in range(len(unseen))]
+        assert np.allclose(kn.total_log10(model, [unseen], [of]), sum(map(math.log10, own)))
+
+
+@pytest.mark.parametrize("most", [4, 60, 1 << 20])
+def test_cut_models_are_distributions(spark, most):
+    df = spark.createDataFrame([(t, "xx") for t in SAMPLE], "text string, lang string")
+    model = qr.language_models(df, qr.languages(df), most=most)
+    assert all(len(g) <= most for g in model.grams) and all(len(g) <= most for g in model.contexts)
+    for before in (b"e the", b"then ", b"zzzzz", b"\xff\xff\xff\xff\xff"):
+        every = np.array([number(before + bytes([b]), 1) for b in range(256)], dtype=np.int64)
+        assert model.probability(every).sum() == pytest.approx(1)
+
+
+def test_stretches_do_not_change_n_grams():
+    texts, langs = [t.encode() for t in SAMPLE] * 3, [1, 2, 0] * 6
+    whole = [np.concatenate(x) for x in zip(*kn.windows(texts, langs), strict=True)]
+    for size in (1, 3, 7, 40):
+        parts = [np.concatenate(x) for x in zip(*kn.windows(texts, langs, size), strict=True)]
+        assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    want = [number((bytes([kn.BEGIN]) * 5 + t)[i : i + 6], lang) for t, lang in zip(texts, langs, strict=True) for i in range(len(t))]
+    assert whole[0].tolist() == want
+    assert list(kn.windows([], [])) == [] and kn.total_log10(kn.Model([[]] * 6, [[]] * 6, [[]] * 6, [[]] * 6), [b""], [0]).tolist() == [0.0]
+
+
+def test_cut_is_the_least_that_fits():
+    kinds = {0: 100, 1: 40, 2: 9, 5: 1}
+    assert [kn.least_count(kinds, m) for m in (1000, 150, 149, 50, 10, 9, 1, 0)] == [1, 1, 2, 2, 4, 32, 32, 64]
+    assert kn.least_count({}, 5) == 1
+
+
+def test_rare_languages_share_a_model(spark):
+    df = spark.createDataFrame([(f"text {i}", f"l{i % 4}") for i in range(10)], "text string, lang string")
+    assert qr.languages(df, most=2) == {"l0": 1, "l1": 2}
+    grams = [r.gram >> kn.LANG_SHIFT for r in qr.gram_counts(df, qr.languages(df, most=2)).collect()]
+    assert set(grams) == {0, 1, 2}
+
+
+def test_word_order_and_language_matter(spark):
+    """Nine in ten texts stay; shuffled words and another language's model reject most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = docs.join(op5_quality_rules(spark, "/root/testdata/sf0.01").where(~F.col("base_failed")).select("doc_id"), "doc_id")
+    rng = np.random.default_rng(3)
+    rows = good.select("doc_id", "text", "lang").collect()
+    langs = sorted({r.lang for r in rows})
+    some = [rows[i] for i in rng.choice(len(rows), 150, replace=False)]
+    odd = [(-1 - i, " ".join(rng.permutation(r.text.split())), r.lang) for i, r in enumerate(some)]
+    odd += [(-1000 - i, r.text, langs[(langs.index(r.lang) + 1) % len(langs)]) for i, r in enumerate(some)]
+    # The odd texts are judged by the models of the good ones.
+    known = qr.languages(good)
+    model = qr.language_models(good, known)
+    judged = qr.measures(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model, known)
+    own = qr.measures(good.select("doc_id", "text", "lang"), model, known)
+    kept = {r.id: r.kept for r in qr.in_band(judged.unionByName(own), qr.bands(own)).collect()}
+    share = lambda ids: np.mean([kept[i] for i in ids])
+    assert share([r.doc_id for r in rows]) >= 0.9
+    assert share([i for i in kept if -1000 < i < 0]) <= 0.5
+    assert share([i for i in kept if i <= -1000]) <= 0.1
 
 
 def test_rules_query_equals_plain(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in op5_quality_rules(spark, SF).collect()}
     texts = [(r.text or "").encode() for r in rows]
-    _, logs = plain_kneser_ney(texts)
+    logs = [0.0] * len(rows)
+    for lang in {r.lang for r in rows}:
+        at = [i for i, r in enumerate(rows) if r.lang == lang]
+        for i, value in zip(at, plain_kneser_ney([texts[i] for i in at])[1], strict=True):
+            logs[i] = value
     groups = defaultdict(list)
     assert len(got) == len(rows)
     for r, t, s in zip(rows, texts, logs, strict=True):
@@ -110,6 +183,10 @@ def test_rules_on_odd_rows(spark):
     got = apply_rules(df).collect()
     assert len(got) == len(ODD) + 3 and sum(r.doc_id is None for r in got) == 2
     assert apply_rules(df.limit(0)).collect() == []
+    bare = apply_rules(df.drop("lang")).collect()
+    assert len(bare) == len(got) and {r.lang for r in bare} == {None}
+    clash = df.withColumn("gram", F.lit(1)).withColumn("id", F.lit("x")).withColumn("kept", F.lit(False)).withColumn("name", F.lit(0))
+    assert sorted(map(str, apply_rules(clash).collect())) == sorted(map(str, got))
 
 
 def test_classifier_held_out_accuracy(spark):
