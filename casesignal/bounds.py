@@ -64,9 +64,15 @@ def check_size(df: DataFrame | Dimension, limit: int = BROADCAST_ROWS) -> Dimens
     return Dimension(pinned, tuple(Row(**r) for r in head.to_pylist()))
 
 
+def few_values(df: DataFrame, column: str, limit: int) -> list | None:
+    """Sorted distinct non-null values, or None if there are more than ``limit``."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else sorted(r[0] for r in rows)
+
+
 def small_values(df: DataFrame, column: str, limit: int = 10_000) -> list:
     """Sorted distinct non-null values; raises beyond the limit, never cuts."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+    values = few_values(df, column, limit)
+    if values is None:
         raise ValueError(f"{column} has more than {limit} values; keep the long form")
-    return sorted(r[0] for r in rows)
+    return values

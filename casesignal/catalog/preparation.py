@@ -140,6 +140,17 @@ def one_hot(spark, sf):
     return prep.one_hot(a.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+@query(
+    "one_hot_wide",
+    """SELECT o_orderkey, o_clerk, o_clerk_index FROM orders JOIN (
+        SELECT o_clerk AS c, row_number() OVER (ORDER BY o_clerk) - 1 AS o_clerk_index FROM (SELECT DISTINCT o_clerk FROM orders)
+    ) ON o_clerk = c""",
+)
+def one_hot_wide(spark, sf):
+    """A category of any number of values, as the place of the 1 in each row."""
+    return prep.one_hot_long(a.table(spark, sf, "orders").select("o_orderkey", "o_clerk"), "o_clerk")
+
+
 @query(
     "class_weights",
     a.with_ctes(

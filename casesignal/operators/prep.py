@@ -168,6 +168,29 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None,
     )
 
 
+def category_index(df: DataFrame, column: str) -> DataFrame:
+    """(column, index): distinct non-null values numbered from 0 in their order.
+
+    A stored table of any size; nothing of it passes through the driver.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("n", F.lit(1).cast("long"))
+    return order.running_totals(values, column, ["n"]).select(column, F.col("n_before").cast("long").alias("index"))
+
+
+def one_hot_long(df: DataFrame, column: str, index: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``<column>_index``, the place of its 1 in a one-hot row.
+
+    The sparse form of ``one_hot``, for categories of any number. ``index`` is a
+    table of ``category_index``, fitted on ``df`` if not given. Null and unknown
+    values have a null: a row without a 1. Rows keep their number.
+    """
+    out, known = f"{column}_index", "__known"
+    if index is None:
+        index = category_index(df, column)
+    found = index.select(F.col(column).alias(known), F.col("index").alias(out))
+    return df.join(found, F.col(column) == F.col(known), "left").drop(known)
+
+
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """(y, n, weight) with weight n_all / (classes * n)."""
     counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))

@@ -13,18 +13,20 @@ from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casesignal.bounds import small_values
+from casesignal.bounds import few_values
 from casesignal.operators import evaluate, labels, prep, trees
 from casesignal.plans import bagged, boost
 from casesignal.session import stored
 
 FEATURES = "features"
 WEIGHT = "__weight"
+#: A category of more values is one sparse vector, not a column for each value.
+WIDE = 1_000
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,10 @@ def fit_preparation(
 
     ``fill``: median or zero. ``scaling``: None, 'std' (divide only) or
     'standard' (centre and divide), on imputed values. ``encode``: 'onehot'
-    columns, or 'index' for trees that split on category subsets.
+    columns, or 'index' for trees that split on category subsets. One-hot
+    categories of more than ``WIDE`` values become sparse vectors; their values
+    are part of the model, like the coefficient that each of them gets. Unseen
+    values are all zero.
     """
     numeric, categorical = list(features.numeric), list(features.categorical)
     filled = (
@@ -108,7 +113,7 @@ def fit_preparation(
     inputs = [f"__n{i}" for i in range(len(numeric))]
 
     modes = prep.as_dict(prep.most_frequent(train, categorical)) if categorical else {}
-    indexers = []
+    indexers, sparse = [], []
     for i, c in enumerate(categorical):
         value = f"coalesce({_quoted(c)}, {_text(modes[c])})"
         if encode == "index":
@@ -119,11 +124,20 @@ def fit_preparation(
             inputs.append(f"__c{i}")
             names.append(c)
         else:
-            for j, v in enumerate(small_values(train, c)):
-                exprs.append(f"cast({value} = {_text(v)} as double) AS __o{i}_{j}")
-                inputs.append(f"__o{i}_{j}")
-                names.append(f"{c}_{v}")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"), *indexers]
+            few = few_values(train, c, WIDE)
+            if few is None:
+                exprs.append(f"{value} AS __t{i}")
+                seen = train.select(F.coalesce(c, F.lit(modes[c])).alias(f"__t{i}"))
+                found = StringIndexer(inputCol=f"__t{i}", outputCol=f"__c{i}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(seen)
+                # The last index is that of unseen values, and is dropped.
+                sparse += [found, OneHotEncoder(inputCol=f"__c{i}", outputCol=f"__v{i}").fit(found.transform(seen.limit(1)))]
+                inputs.append(f"__v{i}")
+                few = found.labels
+            else:
+                inputs += [f"__o{i}_{j}" for j in range(len(few))]
+                exprs += [f"cast({value} = {_text(v)} as double) AS __o{i}_{j}" for j, v in enumerate(few)]
+            names += [f"{c}_{v}" for v in few]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"), *indexers, *sparse]
     if features.bits:
         as_text = f"transform({_quoted(features.bits)}, b -> cast(b as string)) AS __bit_text"
         stages.append(SQLTransformer(statement=f"SELECT *, {as_text} FROM __THIS__"))

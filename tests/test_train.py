@@ -48,6 +48,40 @@ def test_impute_and_scale(spark):
     assert [(r["s_a"], r["s_b"]) for r in hot] == [(0, 1), (1, 0), (0, 0), (0, 1), (1, 0)]
 
 
+def test_wide_categories_by_index(spark):
+    df = spark.createDataFrame([(1, "b", 0), (1, "b", 0), (2, None, 0), (3, "a", 0), (4, "new", 0)], "id int, s string, index int")
+    index = prep.category_index(df.where("s <> 'new'"), "s")
+    assert sorted(map(tuple, index.collect())) == [("a", 0), ("b", 1)]
+    got = prep.one_hot_long(df, "s", index)
+    assert got.columns == ["id", "s", "index", "s_index"]
+    assert sorted((r.id, r.s_index) for r in got.collect()) == [(1, 1), (1, 1), (2, None), (3, 0), (4, None)]
+    many = spark.range(50_000).select((F.col("id") * 7 % 50_000).alias("v"))
+    assert prep.one_hot_long(many, "v").where("v != v_index").count() == 0
+    assert prep.one_hot_long(df.limit(0), "s").collect() == []
+
+
+def test_wide_category_equals_columns(rows, monkeypatch):
+    """The sparse form gives the vector of a column for each value."""
+    df = rows.withColumn("many", F.when(F.col("id") % 7 != 0, F.concat(F.lit("v"), F.col("id") % 40)))
+    features = train.FeatureSet(("x",), ("kind", "many"))
+    fitted = df.where("id < 300 AND id % 40 != 3")
+    want = train.fit_preparation(fitted, features)
+    monkeypatch.setattr(train, "WIDE", 10)
+    done = train.fit_preparation(fitted, features)
+    assert done.names == want.names and "many_v3" not in done.names
+    vectors = [{r.id: r.features.toArray().tolist() for r in train.prepared(df, p, ["id"]).collect()} for p in (done, want)]
+    assert vectors[0] == vectors[1] and len(vectors[0]) == 400
+
+
+def test_a_category_of_100000_values_trains(spark):
+    h = F.pmod(F.xxhash64("id"), F.lit(100_000))
+    df = spark.range(200_000).select("id", F.concat(F.lit("c"), h).alias("many"), (h < 40_000).cast("int").alias("y"), (h / 1e5).alias("x"))
+    features = train.FeatureSet(("x",), ("many",))
+    _, scored, done = train.fit_and_score(df, df.where("id < 1000"), "id", "y", features, train.logistic(max_iter=5), scaling="std")
+    assert len(done.names) > 80_000
+    assert evaluate.roc_auc(scored, "y", "score").first()["auc"] > 0.9
+
+
 def test_safe_numeric(spark):
     df = spark.createDataFrame([("1", "1"), (None, "x"), ("2.5", "3")], "a string, b string")
     assert prep.safe_numeric(df, ["a", "b"]).dtypes == [("a", "double"), ("b", "string")]
