@@ -142,13 +142,13 @@ def one_hot(spark, sf):
 
 @query(
     "one_hot_wide",
-    """SELECT o_orderkey, o_clerk, o_clerk_index FROM orders JOIN (
-        SELECT o_clerk AS c, row_number() OVER (ORDER BY o_clerk) - 1 AS o_clerk_index FROM (SELECT DISTINCT o_clerk FROM orders)
-    ) ON o_clerk = c""",
+    """SELECT o_orderkey, o_custkey, o_custkey_index FROM orders JOIN (
+        SELECT o_custkey AS c, row_number() OVER (ORDER BY o_custkey) - 1 AS o_custkey_index FROM (SELECT DISTINCT o_custkey FROM orders)
+    ) ON o_custkey = c""",
 )
 def one_hot_wide(spark, sf):
     """A category of any number of values, as the place of the 1 in each row."""
-    return prep.one_hot_long(a.table(spark, sf, "orders").select("o_orderkey", "o_clerk"), "o_clerk")
+    return prep.one_hot_long(a.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
 
 @query(
