@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from casesignal.plans import casefeatures, drugmetrics, signals, train
-from casesignal.sources.contract import require_columns
+from casesignal.sources.contract import require_columns, with_first_names
 from casesignal.sources.tables import COMPOUND_SCHEMA, read_csv, read_parquet, write_csv, write_parquet
 from casesignal.sources.text import CASE_TABLES, read_case_table
 
@@ -15,6 +15,23 @@ REQUIRED = {
     "REAC": ("PRIMARYID", "PT"),
 }
 
+# Names under which the tables are known to hold a column, first choice first.
+_CASE = ("PRIMARYID", "primaryid", "PrimaryID", "CASEID", "caseid")
+NAMES = {
+    "DEMO": {
+        "PRIMARYID": _CASE,
+        "AGE": ("AGE", "age", "AGE_YRS", "age_yrs"),
+        "SEX": ("SEX", "sex", "GENDER", "gender"),
+    },
+    "DRUG": {
+        "PRIMARYID": _CASE,
+        "DRUGNAME": ("DRUGNAME_STD", "DRUGNAME", "drugname", "SUBSTANCENAME", "PROD_AI", "prod_ai", "MEDICINALPRODUCT"),
+        "ROLE_COD": ("ROLE_COD", "role_cod", "ROLE", "role"),
+        "ROUTE": ("ROUTE", "route", "ROUTE_COD", "route_cod"),
+    },
+    "REAC": {"PRIMARYID": _CASE, "PT": ("PT", "pt", "reactionmeddrapt", "REAC_PT")},
+}
+
 
 def clean(spark: SparkSession, raw: str, out: str) -> None:
     """Delimited text files to one clean parquet table each."""
@@ -25,11 +42,9 @@ def clean(spark: SparkSession, raw: str, out: str) -> None:
 
 
 def read_clean(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The clean tables, checked for the columns the pipelines need."""
-    return {
-        prefix: require_columns(read_parquet(spark, f"{root}/{prefix.lower()}"), columns, prefix)
-        for prefix, columns in REQUIRED.items()
-    }
+    """The clean tables, their columns found by ``NAMES`` and checked for what the pipelines need."""
+    tables = {prefix: read_parquet(spark, f"{root}/{prefix.lower()}") for prefix in REQUIRED}
+    return {p: require_columns(with_first_names(t, NAMES[p]), REQUIRED[p], p) for p, t in tables.items()}
 
 
 def compounds(spark: SparkSession, path: str) -> DataFrame:

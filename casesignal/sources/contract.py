@@ -25,6 +25,26 @@ def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
+def with_first_names(df: DataFrame, choices: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Each name of ``choices`` taken from the first of its candidates that the table has.
+
+    The chosen column gets the name, in place of a column that had it before.
+    A name without a candidate in the table is left as it is. All choices are
+    made on the table's own columns, so their order does not matter.
+    """
+    found = {name: resolve_column(df, candidates) for name, candidates in choices.items()}
+    taken = {c: name for name, c in found.items() if c is not None}
+    # Columns that resolve like a chosen name would make it ambiguous.
+    hidden = {name.lower() for name in taken.values()}
+    return df.select(
+        *[
+            F.col(f"`{c}`").alias(taken[c]) if c in taken else F.col(f"`{c}`")
+            for c in df.columns
+            if c in taken or c.lower() not in hidden
+        ]
+    )
+
+
 def ensure_columns(df: DataFrame, columns: Mapping[str, str | T.DataType]) -> DataFrame:
     """Add each missing column as a null of the given type."""
     new = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}

@@ -1,7 +1,10 @@
 """Raw text to stored results, end to end."""
 
+import pytest
+
 from casesignal.operators import splits
 from casesignal.plans import models, pipeline, train
+from casesignal.sources.contract import MissingColumns, require_columns, with_first_names
 from casesignal.sources.tables import load_pipeline, read_parquet
 
 COMPOUNDS = (
@@ -26,6 +29,32 @@ def write_raw(root):
     (root / "compounds.csv").write_text(COMPOUNDS)
 
 
+def test_tables_with_other_column_names(spark, tmp_path):
+    """The plans find columns under their other names, the first choice first."""
+    raw, clean, out = tmp_path / "raw", str(tmp_path / "clean"), str(tmp_path / "out")
+    write_raw(raw)
+    dims = str(raw / "compounds.csv")
+    pipeline.clean(spark, str(raw), clean)
+    pipeline.run_signals(spark, clean, dims, f"{out}/a")
+    other = str(tmp_path / "other")
+    names = {"demo": {"PRIMARYID": "PrimaryID", "AGE": "age_yrs", "SEX": "gender"}, "drug": {"PRIMARYID": "CASEID", "DRUGNAME": "prod_ai", "ROLE_COD": "role"}, "reac": {"PRIMARYID": "PrimaryID", "PT": "reactionmeddrapt"}}
+    for table, new in names.items():
+        spark.read.parquet(f"{clean}/{table}").withColumnsRenamed(new).write.parquet(f"{other}/{table}")
+    pipeline.run_signals(spark, other, dims, f"{out}/b")
+    want, got = (sorted(map(str, spark.read.option("header", True).csv(f"{out}/{x}/signals").collect())) for x in "ab")
+    assert want == got and want
+    assert sorted(read_parquet(spark, f"{out}/b/y").columns) == sorted(read_parquet(spark, f"{out}/a/y").columns)
+
+
+def test_first_names(spark):
+    df = spark.createDataFrame([(1, "raw", "STD", "x")], "id int, DRUGNAME string, DRUGNAME_STD string, `a.b` string")
+    got = with_first_names(df, pipeline.NAMES["DRUG"])
+    assert got.columns == ["id", "DRUGNAME", "a.b"] and got.first()["DRUGNAME"] == "STD"
+    assert with_first_names(df, {"x": ("nothing",)}).columns == df.columns
+    with pytest.raises(MissingColumns, match="DRUG lacks PRIMARYID, ROLE_COD"):
+        require_columns(got, pipeline.REQUIRED["DRUG"], "DRUG")
+
+
 def test_end_to_end(spark, tmp_path):
     raw, clean, out = tmp_path / "raw", str(tmp_path / "clean"), str(tmp_path / "out")
     write_raw(raw)

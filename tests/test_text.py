@@ -1,6 +1,7 @@
 """Name normalisers and scalar expressions on hand-built rows."""
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from casesignal.functions import bits, scalars, text
@@ -75,6 +76,18 @@ def test_to_number(spark):
     assert apply(spark, values, scalars.to_number) == [1.0, 2.5, None, None, 1000.0, -0.5, None, None, None]
 
 
+def test_hashed_bits_by_xxhash64(spark):
+    texts = ["añb😀c", "abcabc", "the quick brown fox", "x" * 5000]
+
+    def plain(t, nbits):
+        grams = {t[i : i + 3].encode() for i in range(len(t) - 2)}
+        signed = [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(g, 42) for g in grams)]
+        return sorted({h % nbits for h in signed})
+
+    for nbits in (64, 1000, 1024):
+        assert apply(spark, texts, lambda c, n=nbits: bits.hashed_bits(c, n, 3)) == [plain(t, nbits) for t in texts]
+
+
 def test_hashed_bits(spark):
     got = apply(spark, [None, "", "ab", "abcabc", "añb😀c"], lambda c: bits.hashed_bits(c, 64, 3))
     assert got[:3] == [[], [], []]
