@@ -3,10 +3,11 @@
 Every (label, tree) is a model. A level of a batch of models is a few jobs: each
 task counts, for the nodes it is asked for, the bagged positives and negatives
 of its rows by node, drawn feature and code, and the counts meet in a tree
-reduction. Where a row stands in every tree stays with the cached rows.
+reduction. Where a group stands in every tree stays with the cached groups.
 
 Bags are Poisson draws by hash of row and tree, so a tree's bag is the same for
-every label and in every run. Classes are balanced within each bag: counts are
+every label and in every run. Rows of equal codes are one group, whose bagged
+positives and negatives are counted once for a batch. Classes are balanced within each bag: counts are
 whole numbers, and the weights of a bag's own classes are put on when splits are
 compared.
 """
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casesignal.operators.binned import CODES, Binning, code_counts, encode, fit_binning, unpack
+from casesignal.operators.binned import CODES, Binning, code_counts, distinct_codes, encode, fit_binning
 from casesignal.operators.trees import Trees
-from casesignal.plans.boost import Block, mixed, salt, summed, to_blocks
+from casesignal.plans.boost import Block, mixed, narrow, salt, summed, tallied, to_blocks
 from casesignal.session import stored
 
-#: Models grown together; a row holds four bytes for each.
+#: Models grown together; distinct codes hold some six bytes for each.
 BATCH = 256
 #: Counts that a task sends at a time, at most.
 CELLS = 2_000_000
@@ -64,14 +65,26 @@ def bag_weights(positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray,
 
 
 @dataclass
-class Standing(Block):
-    """A block with the node of each row in each model's tree: (row, model)."""
+class Standing:
+    """A block's groups of equal rows, for some models.
 
+    ``at`` is a group's node in each model's tree, ``drawn`` how many of its
+    positives and negatives are in the bag: (2, group, model).
+    """
+
+    codes: np.ndarray
     at: np.ndarray
+    drawn: np.ndarray
 
 
-def _start(block: Block, models: int) -> Standing:
-    return Standing(block.codes, block.labels, block.fold, block.key, block.margins, np.zeros((len(block.key), models), dtype=np.int32))
+def _start(block: Block, label: np.ndarray, tree: np.ndarray, seed: int) -> Standing:
+    groups = len(block.codes)
+    drawn = np.zeros((2, groups, len(label)), dtype=np.int64)
+    for t in np.unique(tree):
+        times = bag(block.key, seed, int(t))
+        for m in np.flatnonzero(tree == t):
+            drawn[:, :, m] = tallied(block.group, groups, block.labels[:, label[m]] == 1, times)
+    return Standing(block.codes, np.zeros((groups, len(label)), dtype=np.int32), narrow(drawn))
 
 
 @dataclass
@@ -111,9 +124,6 @@ class Tally:
     carries small numbers only: it is sent to every block.
     """
 
-    label: np.ndarray
-    tree: np.ndarray
-    seed: int
     models: np.ndarray
     nodes: np.ndarray
     features: np.ndarray
@@ -138,25 +148,19 @@ class Tally:
         width = int(max(self.nodes.max(), block.at.max(initial=0))) + 1
         out = np.zeros((2, cells), dtype=np.int32)
         edges = np.flatnonzero(np.diff(self.models, prepend=-1, append=-1))
-        bags: dict[int, np.ndarray] = {}
         for lo, hi in zip(edges, edges[1:], strict=False):
             m = int(self.models[lo])
-            t = int(self.tree[m])
-            if t not in bags:
-                bags = {t: bag(block.key, self.seed, t)}
             slot = np.full(width, -1, dtype=np.int64)
             slot[self.nodes[lo:hi]] = np.arange(lo, hi)
             own = slot[block.at[:, m]]
-            rows = np.flatnonzero((own >= 0) & (bags[t] > 0))
+            rows = np.flatnonzero((own >= 0) & block.drawn[:, :, m].any(axis=0))
             if not len(rows):
                 continue
             cell = start[own[rows]] + block.codes[rows[:, None], self.features[own[rows]]]
             first, last = int(start[lo, 0]), int(start[hi, 0]) if hi < len(start) else cells
             cell = (cell - first).ravel()
-            n = np.repeat(bags[t][rows], cell.size // len(rows)).astype(np.float64)
-            y = np.repeat(block.labels[rows, self.label[m]] == 1, cell.size // len(rows))
-            out[0, first:last] += np.bincount(cell, weights=n * y, minlength=last - first).astype(np.int32)
-            out[1, first:last] += np.bincount(cell, weights=n * ~y, minlength=last - first).astype(np.int32)
+            for side, n in zip(out, block.drawn[:, rows, m].astype(np.float64), strict=True):
+                side[first:last] += np.bincount(cell, weights=np.repeat(n, cell.size // len(rows)), minlength=last - first).astype(np.int32)
         return out
 
 
@@ -221,7 +225,7 @@ def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, la
     tree = Trees.roots(models)
     used = np.ones(models, dtype=np.int64)
     k = max(1, int(math.sqrt(len(sizes))))
-    held = blocks.map(partial(_start, models=models)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = blocks.map(partial(_start, label=label, tree=tree_of, seed=settings.seed)).persist(StorageLevel.MEMORY_AND_DISK)
     # Nodes to look at: model, node, attempt, level.
     active = np.array([(m, 0, 0, 0) for m in range(models)], dtype=np.int64).reshape(-1, 4)
     weights, before = None, None
@@ -230,7 +234,7 @@ def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, la
             found = []
             for part in _parts(active, usable, settings.seed, first, min(k, len(usable)), sizes):
                 rows, features = part
-                tally = Tally(label, tree_of, settings.seed, rows[:, 0].astype(np.int32), rows[:, 1].astype(np.int32), features.astype(np.uint16), sizes.astype(np.int32))
+                tally = Tally(rows[:, 0].astype(np.int32), rows[:, 1].astype(np.int32), features.astype(np.uint16), sizes.astype(np.int32))
                 counts = summed(held.mapPartitions(tally))
                 if before is not None:
                     before.unpersist()
@@ -241,7 +245,7 @@ def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, la
                     # The first counts are those of the roots: all rows of a bag.
                     size = sizes[features[:, 0]]
                     whole = [np.array([c[s : s + n].sum() for s, n in zip(tally.start()[0][:, 0], size, strict=True)]) for c in counts]
-                    weights = _root_weights(whole, rows[:, 0], models, held, label, tree_of, settings.seed)
+                    weights = _root_weights(whole, rows[:, 0], models, held)
                     tree.value[:, 0] = _share(weights, np.arange(models), *weights[2:])
                     tree.cover[:, 0] = weights[2] + weights[3]
                 found.append((rows, *compare(counts, tally, weights[:2], sizes, ordered, fill, settings.least)))
@@ -259,7 +263,7 @@ def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, la
     return tree
 
 
-def _root_weights(whole: list[np.ndarray], seen: np.ndarray, models: int, held: RDD, label: np.ndarray, tree_of: np.ndarray, seed: int) -> np.ndarray:
+def _root_weights(whole: list[np.ndarray], seen: np.ndarray, models: int, held: RDD) -> np.ndarray:
     """Class weights, then class counts, of every model's bag."""
     counts = np.zeros((2, models))
     counts[:, seen] = whole
@@ -269,9 +273,7 @@ def _root_weights(whole: list[np.ndarray], seen: np.ndarray, models: int, held:
         def count(blocks: Iterator[Standing]) -> Iterator[np.ndarray]:
             out = np.zeros((2, models))
             for block in blocks:
-                for m in missing:
-                    n, y = bag(block.key, seed, int(tree_of[m])), block.labels[:, label[m]] == 1
-                    out[:, m] += n[y].sum(), n[~y].sum()
+                out[:, missing] += block.drawn[:, :, missing].sum(axis=1)
             yield out
 
         counts += summed(held.mapPartitions(count))
@@ -341,14 +343,14 @@ class Forests:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: Forests = sent.value
             for batch in batches:
-                codes = unpack(batch.column(n), width)
+                codes, back = distinct_codes(batch.column(n), width)
                 total, count = np.zeros((len(codes), own.labels)), np.zeros(own.labels)
                 for tree, label in own.batches:
                     share = tree.values(codes, np.tile(own.fill, (len(label), 1)), own.binning.ordered)
                     for j in np.unique(label):
                         total[:, j] += share[:, label == j].sum(axis=1)
                         count[j] += (label == j).sum()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(list(total / np.maximum(count, 1)), pa.list_(pa.float64()))], names=[*keep, "scores"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(list((total / np.maximum(count, 1))[back]), pa.list_(pa.float64()))], names=[*keep, "scores"])
 
         return table.select(*keep, CODES).mapInArrow(run, schema)
 
