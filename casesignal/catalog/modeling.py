@@ -1,14 +1,15 @@
 """Training and scoring on the case tables.
 
 The estimators' defaults are the published sizes; depth 30, MLlib's limit,
-stands for the reference's unlimited depth. The single forests have them. The
+stands for the reference's unlimited depth. The single forests have them and
+are grown on histograms by ``bagged``. The
 boosted queries take the folds, labels, rate and depth as published, and as
 many rounds as ROUNDS and LABEL_ROUNDS say; ``forest_per_label`` takes
 LABEL_TREES for each label, grown to the end. README lists them beside the
 published values, with measured times.
 """
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -33,11 +34,11 @@ def _v1_split(spark, sf):
     return splits.stratified_holdout(cases, _ID, [_Y], 42)
 
 
-def _fit_v1(spark, sf, estimator):
+def _fit_v1(spark, sf, estimator, fit=partial(train.fit_and_score, scaling="std")):
     split = _v1_split(spark, sf)
     rows, test = split.where("is_test = 0"), split.where("is_test = 1")
     features = train.choose_features(rows, (*_NOT_FEATURES, "is_test"))
-    return train.fit_and_score(rows, test, _ID, _Y, features, estimator, scaling="std")
+    return fit(rows, test, _ID, _Y, features, estimator)
 
 
 @query("logistic_scores")
@@ -56,7 +57,7 @@ def logistic_coefficients(spark, sf):
 @query("forest_report")
 def forest_report(spark, sf):
     """Random forest, classification report on the held-out cases."""
-    _, scored, _ = _fit_v1(spark, sf, train.forest())
+    _, scored, _ = _fit_v1(spark, sf, train.forest(), train.grow_and_score)
     predicted = evaluate.apply_threshold(scored, "score", 0.5)
     return evaluate.classification_report(evaluate.confusion(predicted, _Y, "pred"))
 
@@ -171,7 +172,7 @@ def forest_multi_vs_single(spark, sf):
     parts = splits.nested(x.join(y, _ID), _ID, 42, ["y"])
     tuned = train.tune_and_refit(
         parts, _ID, "y", "part", _X_FEATURES, train.forest(trees=500, min_leaf=1),
-        fill="zero", encode="index",
+        grown=True, fill="zero",
     )
     return evaluate.binary_metrics(tuned.predictions, "y", "pred").withColumn(
         "threshold", F.lit(tuned.threshold)

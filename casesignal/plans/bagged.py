@@ -15,7 +15,7 @@ compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import partial
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from casesignal.operators.binned import CODES, Binning, code_counts, distinct_codes, encode, fit_binning
 from casesignal.operators.trees import Trees
-from casesignal.plans.boost import Block, mixed, narrow, salt, summed, tallied, to_blocks
+from casesignal.plans.boost import DIRECT, Block, mixed, narrow, salt, summed, tallied, to_blocks
 from casesignal.session import stored
 
 #: Models grown together; distinct codes hold some six bytes for each.
@@ -116,12 +116,16 @@ class Moves:
         return replace(block, at=at)
 
 
+#: Cells that rows are in, in order, and their positives and negatives: (2, cell).
+Cells = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Tally:
     """Counts for some nodes: row i of ``features`` belongs to ``nodes[i]``.
 
-    Cells are the codes of each node's features, one after another. The task
-    carries small numbers only: it is sent to every block.
+    Cells are the codes of each node's features, one after another; those without
+    a row are not sent. The task carries small numbers only: it is sent to every block.
     """
 
     models: np.ndarray
@@ -135,18 +139,15 @@ class Tally:
         ends = np.cumsum(size)
         return (ends - size).reshape(self.features.shape), int(ends[-1])
 
-    def __call__(self, blocks: Iterator[Standing]) -> Iterator[np.ndarray]:
-        total = None
-        for block in blocks:
-            own = self.counts(block)
-            total = own if total is None else total + own
-        if total is not None:
-            yield total
+    def __call__(self, blocks: Iterator[Standing]) -> Iterator[Cells]:
+        found = [self.counts(block) for block in blocks]
+        if found:
+            yield merged(*found)
 
-    def counts(self, block: Standing) -> np.ndarray:
+    def counts(self, block: Standing) -> Cells:
         start, cells = self.start()
         width = int(max(self.nodes.max(), block.at.max(initial=0))) + 1
-        out = np.zeros((2, cells), dtype=np.int32)
+        at, sums = [np.zeros(0, dtype=np.int64)], [np.zeros((2, 0), dtype=np.int32)]
         edges = np.flatnonzero(np.diff(self.models, prepend=-1, append=-1))
         for lo, hi in zip(edges, edges[1:], strict=False):
             m = int(self.models[lo])
@@ -159,9 +160,31 @@ class Tally:
             cell = start[own[rows]] + block.codes[rows[:, None], self.features[own[rows]]]
             first, last = int(start[lo, 0]), int(start[hi, 0]) if hi < len(start) else cells
             cell = (cell - first).ravel()
-            for side, n in zip(out, block.drawn[:, rows, m].astype(np.float64), strict=True):
-                side[first:last] += np.bincount(cell, weights=np.repeat(n, cell.size // len(rows)), minlength=last - first).astype(np.int32)
-        return out
+            sides = [
+                np.bincount(cell, weights=np.repeat(n, cell.size // len(rows)), minlength=last - first).astype(np.int32)
+                for n in block.drawn[:, rows, m].astype(np.float64)
+            ]
+            met = np.flatnonzero(sides[0] + sides[1])
+            at.append(first + met)
+            sums.append(np.stack(sides)[:, met])
+        return np.concatenate(at), np.concatenate(sums, axis=1)
+
+
+def merged(*parts: Cells) -> Cells:
+    """One entry for each cell of the parts, in order."""
+    if len(parts) == 1:
+        return parts[0]
+    at, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(sums[:, order], first, axis=1, dtype=np.int32) if len(at) else sums
+
+
+def gathered(parts: RDD) -> Cells | None:
+    """The cells of all tasks; None if no task has a block."""
+    found = parts.collect() if parts.getNumPartitions() <= DIRECT else [parts.treeReduce(merged, depth=2)]
+    return merged(*found) if found else None
 
 
 def node_features(usable: np.ndarray, seed: int, model: np.ndarray, node: np.ndarray, attempt: np.ndarray, k: int) -> np.ndarray:
@@ -178,32 +201,36 @@ def node_features(usable: np.ndarray, seed: int, model: np.ndarray, node: np.nda
     return usable[(first[:, None] + stride[:, None] * at) % n]
 
 
-def compare(counts: np.ndarray, tally: Tally, weights: np.ndarray, sizes: np.ndarray, ordered: np.ndarray, fill: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Per node of a tally: gain (0 if none), feature, code, counts of the left side.
+def compare(counts: Cells, tally: Tally, weights: np.ndarray, ordered: np.ndarray, fill: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Per node of a tally: gain (0 if none), feature, code, counts of the left side and of the right one.
 
     The gain is the weighted Gini decrease; among equal gains the feature drawn
-    first and the lowest code win.
+    first and the lowest code win. A code without a row parts as the one before
+    it does, or not at all, so only cells that rows are in are compared.
     """
     slots, k = tally.features.shape
-    start, cells = tally.start()
-    segment = start.ravel()
-    pos, neg = counts[0].astype(np.int64), counts[1].astype(np.int64)
-    to = segment + fill[tally.features.ravel()]
-    for c in (pos, neg):
-        np.add.at(c, to, c[segment])
-        c[segment] = 0
-    size = sizes[tally.features.ravel()]
-    of = np.repeat(np.arange(slots * k), size)
-    code = np.arange(cells) - segment[of]
-    slot = of // k
+    start, drawn = tally.start()[0].ravel(), tally.features.ravel()
+    cell, sums = counts
+    of = np.searchsorted(start, cell, side="right") - 1
+    missing = (cell == start[of]) & (fill[drawn[of]] > 0)
+    if missing.any():
+        # Missing codes first, then the others: both are in order.
+        cell, sums = merged((cell[missing] + fill[drawn[of[missing]]], sums[:, missing]), (cell[~missing], sums[:, ~missing]))
+        of = np.searchsorted(start, cell, side="right") - 1
+    out = tuple(np.zeros(slots, dtype=kind) for kind in (np.float64, *[np.int64] * 6))
+    if not len(cell):
+        return out
+    pos, neg = sums.astype(np.int64)
+    code, slot = cell - start[of], of // k
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    held = np.cumsum(np.diff(of, prepend=-1) != 0) - 1
     sides = []
     for c in (pos, neg):
         running = np.cumsum(c)
-        before = running[segment] - c[segment]
-        whole = np.add.reduceat(c, segment)
-        inside = running - before[of]
-        left = np.where(ordered[tally.features.ravel()][of], inside, whole[of] - c)
-        sides.append((left, whole[of] - left))
+        before = running[first] - c[first]
+        whole = np.add.reduceat(c, first)[held]
+        left = np.where(ordered[drawn[of]], running - before[held], whole - c)
+        sides.append((left, whole - left))
     (pl, pr), (nl, nr) = sides
     w = weights[:, tally.models]
     gl, gr = w[0][slot] * pl, w[0][slot] * pr
@@ -212,17 +239,23 @@ def compare(counts: np.ndarray, tally: Tally, weights: np.ndarray, sizes: np.nda
         gain = gl**2 / hl + gr**2 / hr - (gl + gr) ** 2 / (hl + hr)
     fits = (pl + nl >= least) & (pr + nr >= least) & (code > 0)
     gain = 2 * np.where(fits & np.isfinite(gain), gain, -1.0)
-    top = np.maximum.reduceat(gain, start[:, 0])
+    there, begin = np.unique(slot, return_index=True)
+    top = np.zeros(slots)
+    top[there] = np.maximum.reduceat(gain, begin)
     near = np.flatnonzero(gain >= (top - np.abs(top) * _TINY)[slot])
     _, at = np.unique(slot[near], return_index=True)
     at = near[at]
-    return np.where(top > _TINY, top, 0.0), tally.features.ravel()[of[at]], code[at], pl[at], nl[at], pr[at], nr[at]
+    found = np.where(top[there] > _TINY, top[there], 0.0), drawn[of[at]], code[at], pl[at], nl[at], pr[at], nr[at]
+    for held_out, values in zip(out, found, strict=True):
+        held_out[there] = values
+    return out
 
 
 def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, label: np.ndarray, tree_of: np.ndarray, settings: Settings, first: int = 0) -> Trees:
     """All trees of a batch of models; ``first`` numbers its first model, for the draws."""
     models, sizes, ordered = len(label), binning.sizes, binning.ordered
     tree = Trees.roots(models)
+    groups = blocks.map(lambda block: len(block.codes)).sum()
     used = np.ones(models, dtype=np.int64)
     k = max(1, int(math.sqrt(len(sizes))))
     held = blocks.map(partial(_start, label=label, tree=tree_of, seed=settings.seed)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -232,23 +265,25 @@ def grow(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, la
     try:
         while len(active) and len(usable):
             found = []
-            for part in _parts(active, usable, settings.seed, first, min(k, len(usable)), sizes):
+            most = np.minimum(tree.cover[active[:, 0], active[:, 1]], groups) if weights is not None else np.full(len(active), groups)
+            for part in _parts(active, most, usable, settings.seed, first, min(k, len(usable)), sizes):
                 rows, features = part
                 tally = Tally(rows[:, 0].astype(np.int32), rows[:, 1].astype(np.int32), features.astype(np.uint16), sizes.astype(np.int32))
-                counts = summed(held.mapPartitions(tally))
+                counts = gathered(held.mapPartitions(tally))
                 if before is not None:
                     before.unpersist()
                     before = None
-                if not counts.size:
+                if counts is None:
                     return tree
                 if weights is None:
                     # The first counts are those of the roots: all rows of a bag.
-                    size = sizes[features[:, 0]]
-                    whole = [np.array([c[s : s + n].sum() for s, n in zip(tally.start()[0][:, 0], size, strict=True)]) for c in counts]
+                    of = np.searchsorted(tally.start()[0].ravel(), counts[0], side="right") - 1
+                    own = of % features.shape[1] == 0
+                    whole = [np.bincount(of[own] // features.shape[1], weights=c[own], minlength=len(rows)) for c in counts[1]]
                     weights = _root_weights(whole, rows[:, 0], models, held)
                     tree.value[:, 0] = _share(weights, np.arange(models), *weights[2:])
                     tree.cover[:, 0] = weights[2] + weights[3]
-                found.append((rows, *compare(counts, tally, weights[:2], sizes, ordered, fill, settings.least)))
+                found.append((rows, *compare(counts, tally, weights[:2], ordered, fill, settings.least)))
             active, splits = _apply(tree, used, found, weights, settings, usable, min(k, len(usable)))
             if len(splits):
                 tree.depth += 1
@@ -286,12 +321,12 @@ def _share(weights: np.ndarray, model: np.ndarray, positive: np.ndarray, negativ
     return a / np.maximum(a + b, 1e-300)
 
 
-def _parts(active: np.ndarray, usable: np.ndarray, seed: int, first: int, k: int, sizes: np.ndarray):
-    """The nodes in stretches of bounded cells, with features drawn and cells placed."""
+def _parts(active: np.ndarray, most: np.ndarray, usable: np.ndarray, seed: int, first: int, k: int, sizes: np.ndarray):
+    """The nodes in stretches of bounded cells, with features drawn; ``most``: groups of rows that a node may have."""
     order = np.lexsort((active[:, 1], active[:, 0]))
-    active = active[order]
+    active, most = active[order], most[order]
     features = node_features(usable, seed, active[:, 0] + first, active[:, 1], active[:, 2], k)
-    per = sizes[features].sum(axis=1)
+    per = np.minimum(sizes[features], most[:, None]).sum(axis=1)
     piece = (np.cumsum(per) - per) // CELLS
     for i in np.unique(piece):
         own = np.flatnonzero(piece == i)
@@ -354,6 +389,33 @@ class Forests:
 
         return table.select(*keep, CODES).mapInArrow(run, schema)
 
+    def score_once(self, table: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """As ``score``; distinct codes of the whole table go through the trees once."""
+        each = table.select(CODES).distinct().withColumn("met", F.col(CODES))
+        scored = stored(self.score(each, ["met"]), "scores")
+        return table.select(*keep, F.col(CODES).alias("met")).join(scored, "met").select(*keep, "scores")
+
+    def importances(self) -> list[tuple[str, float]]:
+        """Share of each feature in a tree's decrease of impurity, mean over the trees that split.
+
+        A category counts as ``feature_value``. Highest first, then by name.
+        """
+        sizes, n = self.binning.sizes, len(self.binning.numeric)
+        starts = np.cumsum(sizes) - sizes
+        total, count = np.zeros(int(sizes.sum())), 0
+        for tree, _ in self.batches:
+            model, node = np.nonzero(tree.feature >= 0)
+            gain = tree.gain[model, node]
+            whole = np.bincount(model, weights=gain, minlength=len(tree.feature))
+            cell = starts[tree.feature[model, node]] + tree.code[model, node]
+            total += np.bincount(cell, weights=gain / whole[model], minlength=len(total))
+            count += int((whole > 0).sum())
+        cells = np.split(total / max(count, 1), starts[1:])
+        pairs = [(name, float(c.sum())) for name, c in zip(self.binning.numeric, cells, strict=False)]
+        for name, values, c in zip(self.binning.categorical, self.binning.values, cells[n:], strict=True):
+            pairs += [(f"{name}_{v}", float(x)) for v, x in zip(values, c[1:], strict=True)]
+        return sorted(pairs, key=lambda p: (-p[1], p[0]))
+
 
 def fit(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, labels: int, settings: Settings) -> Forests:
     """``settings.trees`` trees for each label, a batch of models at a time.
@@ -368,19 +430,25 @@ def fit(blocks: RDD, binning: Binning, fill: np.ndarray, usable: np.ndarray, lab
     return Forests(out, binning, fill, labels)
 
 
-def encode_rows(df: DataFrame, keep: Sequence[str], numeric: Sequence[str], bits: str | None, nbits: int, learn: str | None = None, max_bins: int = 255) -> tuple[Binning, DataFrame]:
-    """Codes of numbers, a missing one as 0, and of an array of bit positions.
+def encode_rows(
+    df: DataFrame, keep: Sequence[str], numeric: Sequence[str], bits: str | None, nbits: int, learn: str | None = None,
+    max_bins: int = 255, categorical: Sequence[str] = (), fills: Mapping[str, float | str | None] | None = None,
+) -> tuple[Binning, DataFrame]:
+    """Codes of numbers, of an array of bit positions and of categories.
 
-    Cuts come from the rows that meet ``learn``.
+    A missing value stands at its column's ``fills``, a number without one at 0.
+    Cuts and categories come from the rows that meet ``learn``.
     """
-    whole = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in numeric}
+    fills = fills or {}
+    whole = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(fills.get(c) or 0.0))) for c in numeric}
+    whole |= {c: F.coalesce(F.col(c).cast("string"), F.lit(fills.get(c))) for c in categorical}
     filled = df.withColumns(whole) if whole else df
-    own = fit_binning(filled if learn is None else filled.where(learn), numeric, (), max_bins)
+    own = fit_binning(filled if learn is None else filled.where(learn), numeric, categorical, max_bins)
     table = encode(filled, own, [*keep, *([bits] if bits else [])])
     if not bits:
         return own, stored(table, "codes")
-    binning = Binning((*own.numeric, *(f"FP{i}" for i in range(nbits))), (), own.cuts + (np.zeros(1),) * nbits, ())
-    n = len(keep)
+    binning = Binning((*own.numeric, *(f"FP{i}" for i in range(nbits))), own.categorical, own.cuts + (np.zeros(1),) * nbits, own.values)
+    n, at = len(keep), 2 * len(own.numeric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,7 +456,7 @@ def encode_rows(df: DataFrame, keep: Sequence[str], numeric: Sequence[str], bits
             column = batch.column(n)
             row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
             codes[row, pc.list_flatten(column).to_numpy(zero_copy_only=False)] = 2
-            packed = [a + b.tobytes() for a, b in zip(batch.column(n + 1).to_pylist(), codes, strict=True)]
+            packed = [a[:at] + b.tobytes() + a[at:] for a, b in zip(batch.column(n + 1).to_pylist(), codes, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(packed, pa.binary())], names=[*keep, CODES])
 
     schema = T.StructType([*[table.schema[c] for c in keep], T.StructField(CODES, T.BinaryType())])
@@ -398,8 +466,8 @@ def encode_rows(df: DataFrame, keep: Sequence[str], numeric: Sequence[str], bits
 def fit_rows(rows: DataFrame, binning: Binning, id_col: str, labels: Sequence[str], settings: Settings) -> Forests:
     """Forests of all labels from the rows of an encoded table."""
     counts = code_counts(rows, binning).get(0, [np.zeros(n) for n in binning.sizes])
-    # A missing code is not met: numbers are filled, bits are there or not.
-    fill = np.ones(len(binning.names), dtype=np.int64)
+    # Only a category has a missing code: a value not learned from, which equals none.
+    fill = binning.ordered.astype(np.int64)
     usable = np.flatnonzero([np.count_nonzero(c) > 1 for c in counts])
     blocks = to_blocks(rows, binning, labels, id_col)
     try:

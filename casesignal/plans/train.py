@@ -1,4 +1,4 @@
-"""Training and scoring: linear models and forests of MLlib, boosted trees of ``boost``.
+"""Training and scoring: linear models and forests of MLlib, forests of ``bagged``, boosted trees of ``boost``.
 
 Preprocessing is fitted on training rows and kept as pipeline stages (SQL
 expressions plus a vector assembler), so it is saved with the model and stays
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -245,6 +245,38 @@ def fit_and_score(
     return PipelineModel([*done.stages, model]), scored, done
 
 
+def grow_and_score(
+    train: DataFrame,
+    test: DataFrame,
+    id_col: str,
+    y: str,
+    features: FeatureSet,
+    estimator: RandomForestClassifier,
+    fill: str = "median",
+    max_bins: int = 255,
+) -> tuple[bagged.Forests, DataFrame, list[str]]:
+    """As ``fit_and_score`` for a forest, grown by ``bagged``: forest, scored test rows, names.
+
+    The estimator gives trees, depth, least rows of a leaf and seed. A category
+    is one column, whose splits ask for one value; a value not learned from
+    equals none. Classes are balanced within each bag. Scaling changes no split.
+    """
+    numeric, categorical = list(features.numeric), list(features.categorical)
+    fills = prep.as_dict(prep.medians(train, numeric)) if fill == "median" and numeric else {}
+    fills |= prep.as_dict(prep.most_frequent(train, categorical)) if categorical else {}
+    columns = [c for c in (*numeric, *categorical, features.bits) if c]
+    both = train.select(id_col, y, *columns, F.lit(1).alias("__learn")).unionByName(test.select(id_col, y, *columns, F.lit(0).alias("__learn")))
+    binning, table = bagged.encode_rows(
+        both, [id_col, y, "__learn"], numeric, features.bits, features.nbits, "__learn = 1", max_bins, categorical, fills
+    )
+    settings = bagged.Settings(
+        trees=estimator.getNumTrees(), least=estimator.getMinInstancesPerNode(), depth=estimator.getMaxDepth(), seed=estimator.getSeed()
+    )
+    model = bagged.fit_rows(table.where("__learn = 1"), binning, id_col, [y], settings)
+    scored = model.score_once(table.where("__learn = 0"), [id_col, y])
+    return model, scored.select(id_col, y, F.col("scores")[0].alias("score")), [name for name, _ in model.importances()]
+
+
 @dataclass(frozen=True)
 class CrossValidation:
     """Out-of-fold scores, fold metrics, mean importances."""
@@ -339,7 +371,7 @@ def oof_summary(cv: CrossValidation, y: str) -> tuple[DataFrame, DataFrame, Data
 
 @dataclass(frozen=True)
 class TunedModel:
-    model: PipelineModel
+    model: PipelineModel | bagged.Forests
     threshold: float
     predictions: DataFrame
     names: list[str]
@@ -355,22 +387,22 @@ def tune_and_refit(
     scheme: str = "balanced",
     low: float = 0.3,
     high: float = 0.99,
+    grown: bool = False,
     **preparation,
 ) -> TunedModel:
     """Threshold from the validation rows, refit on train and validation,
-    predictions of the test rows. ``part`` is train, val or test."""
+    predictions of the test rows. ``part`` is train, val or test.
+
+    ``grown``: a forest by ``grow_and_score``, which balances classes itself."""
     base = stored(df, "rows")
+    run = partial(grow_and_score, **preparation) if grown else partial(fit_and_score, scheme=scheme, **preparation)
     inner, val, test = (base.where(F.col(part) == p) for p in ("train", "val", "test"))
-    _, val_scores, _ = fit_and_score(
-        inner, val, id_col, y, features, estimator, scheme, **preparation
-    )
+    _, val_scores, _ = run(inner, val, id_col, y, features, estimator)
     chosen = evaluate.stepped_threshold(val_scores, y, "score", low=low, high=high).first()
     threshold = float(chosen["threshold"]) if chosen else 0.5
-    model, scored, done = fit_and_score(
-        base.where(F.col(part) != "test"), test, id_col, y, features, estimator, scheme, **preparation
-    )
+    model, scored, done = run(base.where(F.col(part) != "test"), test, id_col, y, features, estimator)
     predictions = evaluate.apply_threshold(scored, "score", threshold)
-    return TunedModel(model, threshold, predictions, done.names)
+    return TunedModel(model, threshold, predictions, done if grown else done.names)
 
 
 @dataclass(frozen=True)
