@@ -181,6 +181,6 @@ def forest_multi_vs_single(spark, sf):
 
 @query("forest_top_importances")
 def forest_top_importances(spark, sf):
-    model, _, done = _fit_v1(spark, sf, train.forest())
-    table = train.importance_table(spark, train.importances(model.stages[-1], done.names))
+    model, _, _ = _fit_v1(spark, sf, train.forest(), train.grow_and_score)
+    table = train.importance_table(spark, model.importances())
     return aggregate.top_rows(table, 30, ["importance"], ["feature"])
