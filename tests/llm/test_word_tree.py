@@ -3,9 +3,13 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
+from casesignal.llm import word_tree
 from casesignal.llm.registry import op3_suffix_tree
+from casesignal.llm.suffix_tree import Tokens
 from casesignal.llm.word_tree import learn, score
 from tests.llm.test_suffix_tree import words
 
@@ -86,3 +90,27 @@ def test_rare_passage_is_learnt_by_the_query(spark, tmp_path):
     spark.createDataFrame(filler + planted + tests, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op3_suffix_tree(spark, str(tmp_path)).collect()}
     assert got[20_000].score > got[30_000].score + 12
+
+
+def test_a_sequence_is_stored_once(spark, monkeypatch):
+    """With the counts that give its value, and no second time with that value."""
+    rows = []
+    keep = word_tree.stored
+    monkeypatch.setattr(word_tree, "stored", lambda df, label: rows.append((label, keep(df, label))) or rows[-1][1])
+    texts = [(i, " ".join(f"w{(i * j + j) % 23}" for j in range(200))) for i in range(40)]
+    learn(spark.createDataFrame(texts, "doc_id long, text string"))
+    keys = [df.select("key") for _, df in rows if "n" in df.columns and "key" in df.columns]
+    sequences = {(t[i - k : i + 1]) for _, x in texts for t in [(" begin", *x.split(), " end")] for k in (1, 2, 3) for i in range(k, len(t))}
+    found = [r.key for df in keys for r in df.collect()]
+    assert 0 < len(found) == len(set(found)) <= len(sequences)
+    assert not [label for label, _ in rows if label.startswith("values")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_words_are_those_of_bytes_split():
+    """At both ends of a text, between other white space, and beyond ASCII."""
+    texts = ["", " ", " A\x0bB\tc ", "\u00c4b\u00a0c\u2028d  A", "\r\nx\x1cy\x85z\x0c"]
+    got = Tokens([t.encode() for t in texts])
+    want = [[xxhash.xxh64_intdigest(w) for w in t.encode().lower().split()] for t in texts]
+    assert got.lengths.tolist() == [len(w) for w in want]
+    assert got.hashes.view(np.uint64)[got.at].tolist() == [h for w in want for h in w]
