@@ -1,7 +1,8 @@
 """SentencePiece encoding as a relational lattice over distinct words.
 
 Texts are cut where no piece crosses (before a run of spaces, around a line
-break), and each distinct word is encoded once: its substrings up to the
+break, between any two characters that stand side by side in no piece), and each
+distinct word is encoded once: its substrings up to the
 longest piece are exploded and joined to the piece table, a character outside
 the table is an edge of its own, the edges are grouped by word, and a fold over
 the word's places finds the path of the highest score (Viterbi), earlier starts
@@ -14,11 +15,10 @@ they take ``max_bytes`` or less, else by a join.
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,17 @@ class Pieces:
     texts: tuple[bytes, ...]
     longest: int
     unknown: float
-    pattern: re.Pattern
+    #: Code points that pieces hold beside others, sorted; which of them, by
+    #: their places here from 1 on, stand before which in a piece.
+    chars: np.ndarray
+    beside: np.ndarray
+
+    @cached_property
+    def _place(self) -> np.ndarray:
+        """Place in ``chars`` by code point; 0 for the others and all beyond the last."""
+        out = np.zeros(int(self.chars[-1]) + 2, dtype=np.int32)
+        out[self.chars] = np.arange(1, len(self.chars) + 1)
+        return out
 
     def word_ids(self, word: str) -> list[int]:
         """The recurrence of the fold, place by place."""
@@ -71,8 +81,27 @@ class Pieces:
             at = start
         return out[::-1]
 
+    def cut(self, texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all texts in a row, and their number in each text."""
+        marked = [(MARK + t.decode("utf-8", "replace")).replace(" ", MARK) if t else "" for t in texts]
+        whole = "".join(marked)
+        code = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        place = self._place[np.minimum(code, len(self._place) - 1)]
+        first = np.ones(len(code), dtype=bool)
+        first[1:] = ~self.beside.ravel()[place[:-1] * len(self.beside) + place[1:]]
+        ends = np.cumsum([len(t) for t in marked], dtype=np.int64)
+        first[ends[:-1][ends[:-1] < len(code)]] = True
+        at = np.flatnonzero(first)
+        width = np.ones(len(code), dtype=np.int8)
+        for beyond in (0x80, 0x800, 0x10000):
+            width += code >= beyond
+        size = np.add.reduceat(width, at, dtype=np.int64) if len(at) else np.zeros(0, dtype=np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        return words, np.diff(np.searchsorted(at, ends), prepend=0)
+
     def words(self, text: str) -> list[str]:
-        return self.pattern.findall((MARK + text).replace(" ", MARK)) if text else []
+        return self.cut([text.encode("utf-8", "replace")])[0].to_pylist()
 
     def decode(self, ids) -> bytes:
         """The text of some ids; spaces for the mark, none for the first."""
@@ -91,15 +120,17 @@ def load_pieces(model: bytes) -> Pieces:
     texts = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() if p.type == 1 else b"" for p in proto.pieces]
     if len(bytes_) != 256 or any(MARK in p.lstrip(MARK) for p in ids):
         raise ValueError("needs byte pieces, and no space after other characters in a piece")
-    inner = {c for p in ids if len(p) > 1 for c in p}
-    pattern = f"{MARK}*[^{MARK}]+|{MARK}+" if "\n" in inner else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
-    return Pieces(ids, scores, tuple(bytes_[b] for b in range(256)), tuple(texts), max(map(len, ids)), min(scores.values()) - 10, re.compile(pattern))
+    pairs = sorted({(ord(a), ord(b)) for p in ids for a, b in pairwise(p)} | {(ord(MARK), ord(MARK))})
+    chars = np.unique(np.array(pairs))
+    beside = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+    beside[tuple(np.searchsorted(chars, np.array(pairs).T) + 1)] = True
+    return Pieces(ids, scores, tuple(bytes_[b] for b in range(256)), tuple(texts), max(map(len, ids)), min(scores.values()) - 10, chars, beside)
 
 
-def word_hash(words) -> np.ndarray:
+def word_hash(words: pa.StringArray) -> np.ndarray:
     """XXH64 as Spark's function gives it."""
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in words], dtype=np.uint64).view(np.int64)
+    return np.array([digest(w, 42) for w in words.view(pa.binary()).to_numpy(zero_copy_only=False)], dtype=np.uint64).view(np.int64)
 
 
 def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
@@ -108,11 +139,8 @@ def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> Dat
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
         own = sent.value
-        found: set[str] = set()
-        for part in _slices(batch, 0):
-            for t in texts_of(part.column(0)):
-                found.update(own.words(t.decode("utf-8", "replace")))
-        return {"w": list(found)}
+        found = [own.cut(texts_of(part.column(0)))[0].unique() for part in _slices(batch, 0)]
+        return {"w": pa.concat_arrays(found).unique()}
 
     return arrow_map(docs.select(F.col(text_col)), of, "w string").distinct()
 
@@ -324,13 +352,9 @@ def _slices(batch: pa.RecordBatch, *path: int) -> Iterator[pa.RecordBatch]:
 
 
 def _encode_texts(own: Pieces, known: WordIds, texts: list[bytes]) -> pa.StructArray:
-    number: dict[str, int] = {}
-    at_word, lengths = array("i"), []
-    for t in texts:
-        words = own.words(t.decode("utf-8", "replace"))
-        lengths.append(len(words))
-        at_word.extend([number.setdefault(w, len(number)) for w in words])
-    place = known.places(word_hash(number))[np.frombuffer(at_word, dtype=np.int32)] if number else np.zeros(0, dtype=np.int64)
+    words, lengths = own.cut(texts)
+    coded = words.dictionary_encode()
+    place = known.places(word_hash(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
     first = known.starts[place].astype(np.int64)
     size = known.starts[place + 1] - first
     ends = np.cumsum(size)
@@ -366,13 +390,12 @@ def _encode_by_join(rows: DataFrame, table: DataFrame, model: bytes, at: int, sc
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
         own = load_pieces(sent.value)
-        keys, places, hashes = [], [], []
-        for key, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            words = own.words(t.decode("utf-8", "replace"))
-            keys += [key] * len(words)
-            places += range(len(words))
-            hashes += words
-        return {"key": keys, "place": places, "h": word_hash(hashes)}
+        words, lengths = own.cut(texts_of(batch.column(1)))
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        places = np.arange(len(text)) - (np.cumsum(lengths) - lengths)[text]
+        coded = words.dictionary_encode()
+        hashes = word_hash(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        return {"key": batch.column(0).take(pa.array(text)), "place": places.astype(np.int32), "h": hashes}
 
     texts = rows.where("text_id IS NOT NULL").groupBy("text_id").agg(F.first(text).alias("text"))
     words = arrow_map(texts, cut, "key binary, place int, h bigint")

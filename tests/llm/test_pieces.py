@@ -1,12 +1,13 @@
 """The path of the highest score over the model's pieces, and round trips."""
 
 import hashlib
+import random
 
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from casesignal.llm.pieces import decode, encode, load_pieces
+from casesignal.llm.pieces import MARK, decode, distinct_words, encode, load_pieces
 from casesignal.llm.registry import op8_pieces, piece_model
 
 MODEL = piece_model()
@@ -72,3 +73,18 @@ def test_query_is_no_worse_than_the_library(spark):
         assert total(r.ids) >= total(lib.encode(texts[r.doc_id]))
         assert lib.decode(r.ids) == texts[r.doc_id]
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_words_end_where_no_piece_goes_on(spark):
+    """A stop, a digit or a foreign letter behind a word makes no new word, and the ids are those of the text uncut."""
+    own = load_pieces(MODEL)
+    texts = [f"shant{end}" for end in (".", ",", "***", "!!", "7", "42", "\u0436", "\n", " ")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = [r.w for r in distinct_words(df, MODEL).collect()]
+    assert len(words) == len(set(words)) and sum("shant" in w for w in words) == 1
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("ab.,1 \n\r\u2014\u201d\u00bb\u00e9\u6f22\u0436\u2581#(\U0001f600") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for t in texts:
+        whole = (MARK + t).replace(" ", MARK) if t else ""
+        assert "".join(own.words(t)) == whole
+        assert [i for w in own.words(t) for i in own.word_ids(w)] == own.word_ids(whole)
