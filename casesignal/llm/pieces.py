@@ -37,7 +37,9 @@ MARK = "▁"
 LONG = 64
 WORDS_A_TASK = 50_000
 #: Bytes of text encoded at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Characters looked at in one go when texts are cut.
+WINDOW = 1 << 18
 
 
 @dataclass(frozen=True, eq=False)
@@ -86,15 +88,16 @@ class Pieces:
         marked = [(MARK + t.decode("utf-8", "replace")).replace(" ", MARK) if t else "" for t in texts]
         whole = "".join(marked)
         code = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
-        place = self._place[np.minimum(code, len(self._place) - 1)]
-        first = np.ones(len(code), dtype=bool)
-        first[1:] = ~self.beside.ravel()[place[:-1] * len(self.beside) + place[1:]]
+        first, width = np.ones(len(code), dtype=bool), np.ones(len(code), dtype=np.int8)
+        for lo in range(0, len(code), WINDOW):
+            run = code[lo : lo + WINDOW + 1]
+            place = self._place[np.minimum(run, len(self._place) - 1)]
+            first[lo + 1 : lo + len(run)] = ~self.beside[place[:-1], place[1:]]
+            for beyond in (0x80, 0x800, 0x10000):
+                width[lo : lo + WINDOW] += run[:WINDOW] >= beyond
         ends = np.cumsum([len(t) for t in marked], dtype=np.int64)
         first[ends[:-1][ends[:-1] < len(code)]] = True
         at = np.flatnonzero(first)
-        width = np.ones(len(code), dtype=np.int8)
-        for beyond in (0x80, 0x800, 0x10000):
-            width += code >= beyond
         size = np.add.reduceat(width, at, dtype=np.int64) if len(at) else np.zeros(0, dtype=np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))

@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from casesignal.llm import pieces
 from casesignal.llm.pieces import MARK, decode, distinct_words, encode, load_pieces
 from casesignal.llm.registry import op8_pieces, piece_model
 
@@ -88,3 +89,14 @@ def test_words_end_where_no_piece_goes_on(spark):
         whole = (MARK + t).replace(" ", MARK) if t else ""
         assert "".join(own.words(t)) == whole
         assert [i for w in own.words(t) for i in own.word_ids(w)] == own.word_ids(whole)
+
+
+def test_cuts_are_the_same_in_windows_of_any_length(monkeypatch):
+    plain = load_pieces(MODEL)
+    texts = [(t or "").encode() for t in ODD]
+    want, lengths = plain.cut(texts)
+    assert lengths.tolist() == [len(plain.words(t or "")) for t in ODD] and lengths.sum() == len(want)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(pieces, "WINDOW", size)
+        words, got = plain.cut(texts)
+        assert words.equals(want) and got.tolist() == lengths.tolist()
