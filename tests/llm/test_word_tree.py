@@ -1,9 +1,12 @@
 """Scores of the stored tree against a plain tree of dictionaries."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -107,6 +110,23 @@ def test_a_sequence_is_stored_once(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_what_a_worker_holds_does_not_grow_with_its_batch():
+    """Rows to look up are sent on slice by slice: a batch of four times the texts takes the same memory."""
+    bits = np.full(1 << 7, 0xFFFFFFFF, dtype=np.uint32)
+    none = np.array([], dtype=np.int64)
+    sent = word_tree.Sent(3, none, none.astype(float), none.astype(float), word_tree.Sieve(12, bits))
+    peaks = []
+    for n in (2_000, 8_000):
+        texts = [" ".join(f"w{(i * 31 + j * j) % 4001}" for j in range(400)) for i in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["doc_id", "row", "text"])
+        tracemalloc.start()
+        rows = [len(part["row"]) for part in word_tree.looked_up(batch, sent, pd.Index(none))]
+        peaks.append(tracemalloc.get_traced_memory()[1] - sum(map(len, texts)))
+        tracemalloc.stop()
+        assert sum(rows) > 1000 * n and max(rows) < 2_000_000
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_words_are_those_of_bytes_split():
     """At both ends of a text, between other white space, and beyond ASCII."""
     texts = ["", " ", " A\x0bB\tc ", "\u00c4b\u00a0c\u2028d  A", "\r\nx\x1cy\x85z\x0c"]
