@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from casesignal.operators.binned import CODES, Binning, code_counts, distinct_codes, encode, fit_binning
 from casesignal.operators.trees import Trees
-from casesignal.plans.boost import DIRECT, Block, mixed, narrow, salt, summed, tallied, to_blocks
+from casesignal.plans.boost import DIRECT, Block, mixed, narrow, salt, spread, summed, tallied, to_blocks
 from casesignal.session import stored
 
 #: Models grown together; distinct codes hold some six bytes for each.
@@ -391,7 +391,7 @@ class Forests:
 
     def score_once(self, table: DataFrame, keep: Sequence[str]) -> DataFrame:
         """As ``score``; distinct codes of the whole table go through the trees once."""
-        each = table.select(CODES).distinct().withColumn("met", F.col(CODES))
+        each = spread(table.select(CODES).distinct()).withColumn("met", F.col(CODES))
         scored = stored(self.score(each, ["met"]), "scores")
         return table.select(*keep, F.col(CODES).alias("met")).join(scored, "met").select(*keep, "scores")
 
