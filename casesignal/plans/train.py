@@ -486,8 +486,7 @@ def forest_per_label(
     each = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("label"), F.array(*columns).alias("y"), F.col("scores").alias("score")))
 
     def scored(rows: DataFrame, to: str) -> DataFrame:
-        model = bagged.fit_rows(rows, binning, id_col, columns, settings)
-        out = model.score(table.where(F.col(part) == to), [id_col, *columns])
+        out = bagged.scored_by_rows(rows, table.where(F.col(part) == to), [id_col, *columns], binning, id_col, columns, settings)
         return stored(out.select(id_col, each.alias("e")).select(id_col, "e.*"), "scored")
 
     val = scored(table.where(F.col(part) == "train"), "val")

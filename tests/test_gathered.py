@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from casesignal.catalog import modeling
 from casesignal.operators import binned
-from casesignal.plans import boost, gathered, train
+from casesignal.plans import bagged, boost, gathered, train
+from tests.test_bagged import table as bit_table
 from tests.test_boost import table
 
 SETTINGS = boost.Settings(rounds=6, depth=4, rate=0.3, rows=0.7, columns=0.7, least=0.5)
@@ -74,10 +75,55 @@ def test_scores_of_distinct_codes_are_those_of_the_rows(spark):
     assert len(got) == 600 and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("every", [0, 4])
+def test_a_task_grows_the_forests_of_the_jobs(spark, monkeypatch, every):
+    """Whether all features of a node are looked at or the drawn ones alone; with categories and missing values."""
+    df = bit_table(spark, 300, 4).withColumn("c", F.expr("elt(id % 4 + 1, 'p', 'q', 'r', null)"))
+    binning, encoded = bagged.encode_rows(df, ["id", "a", "b"], ["x", "z"], "bits", 6, None, 255, ["c"], {})
+    settings = bagged.Settings(trees=4, least=2)
+    by_task = []
+    for most in (0, 1 << 27):
+        monkeypatch.setattr(gathered, "MOST", most)
+        monkeypatch.setattr(bagged, "ALL", every)
+        monkeypatch.setattr(bagged, "BATCH", 8 if most == 0 else 3)
+        forests = bagged.fit_rows(encoded, binning, "id", ["a", "b"], settings)
+        by_task.append([
+            [(t.feature[m, i], t.code[m, i], t.left[m, i], t.value[m, i], t.gain[m, i]) for i in np.flatnonzero(t.cover[m])]
+            for t, label in forests.batches for m in range(len(label))
+        ])
+    assert len(by_task[0]) == 8 and min(map(len, by_task[0])) > 9
+    for one, two in zip(*by_task, strict=True):
+        assert np.allclose(one, two)
+
+
+def test_scores_made_where_the_trees_are(spark, monkeypatch):
+    df = bit_table(spark, 300, 6)
+    df = df.unionByName(df.withColumn("id", F.col("id") + 1000))
+    binning, encoded = bagged.encode_rows(df, ["id", "a", "b"], ["x", "z"], "bits", 6)
+    learn, other = encoded.where("id % 3 > 0"), encoded.where("id % 3 = 0")
+    settings = bagged.Settings(trees=5)
+    want = {r["id"]: r["scores"] for r in bagged.fit_rows(learn, binning, "id", ["a", "b"], settings).score(other, ["id"]).collect()}
+    monkeypatch.setattr(bagged, "TREES", 2)
+    got = {r["id"]: r["scores"] for r in bagged.scored_by_rows(learn, other, ["id"], binning, "id", ["a", "b"], settings).collect()}
+    assert set(got) == set(want) and len(got) == 200
+    assert all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 class Found(Exception):
     pass
 
 
+def test_forests_of_labels_have_the_published_trees(spark, monkeypatch):
+    def caught(*args, **kwargs):
+        raise Found(args)
+
+    monkeypatch.setattr(train, "forest_per_label", caught)
+    with pytest.raises(Found) as found:
+        modeling.forest_per_label(spark, "/root/testdata/sf0.001")
+    (settings,) = [a for a in found.value.args[0] if isinstance(a, bagged.Settings)]
+    assert (settings.trees, settings.least, settings.depth) == (500, 1, None)
+
+
 @pytest.mark.parametrize(("name", "fit", "rounds"), [
     ("boosted_cv_metrics", "cross_validate_boosted", 800), ("boosted_oof_report", "cross_validate_boosted", 800),
     ("boosted_importances", "cross_validate_boosted", 800), ("boosted_per_label", "boosted_per_label", 1200),
