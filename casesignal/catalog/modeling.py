@@ -22,7 +22,7 @@ from casesignal.plans import bagged, boost, train
 from casesignal.session import scratch_path, stored
 from casesignal.sources.tables import load_pipeline, save_model
 
-ROUNDS, LABEL_ROUNDS, LABEL_TREES = 800, 1200, 4
+ROUNDS, LABEL_ROUNDS, LABEL_TREES = 800, 1200, 500
 
 _ID, _Y = "PRIMARYID", "y_multiADR"
 _NOT_FEATURES = (_ID, _Y, "ADR_count")
