@@ -8,8 +8,10 @@ the table is an edge of its own, the edges are grouped by word, and a fold over
 the word's places finds the path of the highest score (Viterbi), earlier starts
 first among equals. A character off the table becomes its bytes' pieces.
 
-The encoded words go to the documents in a broadcast of sorted hash arrays if
-they take ``max_bytes`` or less, else by a join.
+The encoded words go to the documents in a broadcast of sorted hash arrays, the
+commonest if all take more than ``max_bytes``. The others, which few texts have,
+go through the same lattice where they stand (``Pieces.lattice``), all those of a slice at once: the texts
+are not shuffled, however many words there are.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MARK = "▁"
 #: to arrays, which costs the square of a word's length.
 LONG = 64
 WORDS_A_TASK = 50_000
+#: Words of so many slices or more are equally common.
+OFTEN = 4_096
 #: Bytes of text encoded at a time.
 SLICE = 1 << 20
 #: Characters looked at in one go when texts are cut.
@@ -103,6 +107,95 @@ class Pieces:
         words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
         return words, np.diff(np.searchsorted(at, ends), prepend=0)
 
+    @cached_property
+    def _trie(self) -> tuple[np.ndarray, ...]:
+        """Characters of all pieces; then, by state * characters + character, the next state; id and score of each state."""
+        chars = {c: i for i, c in enumerate(sorted({c for p in self.ids for c in p}))}
+        steps: dict[int, int] = {}
+        found, scores = [-1], [0.0]
+        for p, i in self.ids.items():
+            state = 0
+            for c in p:
+                key = state * len(chars) + chars[c]
+                if key not in steps:
+                    steps[key] = len(found)
+                    found.append(-1)
+                    scores.append(0.0)
+                state = steps[key]
+            found[state], scores[state] = i, self.scores[p]
+        keys = np.array(sorted(steps), dtype=np.int64)
+        return np.array([ord(c) for c in chars], dtype=np.uint32), keys, np.array([steps[k] for k in keys.tolist()]), np.array(found), np.array(scores)
+
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words in a row and their number for each: all edges by the piece table, then a fold by end."""
+        if any(len(w) > LONG for w in words):
+            plain = [self.word_ids(w) if len(w) > LONG else None for w in words]
+            lengths, ids = self.lattice([w for w in words if len(w) <= LONG])
+            short = iter(np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else [])
+            out = [np.array(p, dtype=np.int64) if p is not None else next(short) for p in plain]
+            return np.array([len(o) for o in out], dtype=np.int64), np.concatenate(out)
+        chars, keys, following, found, scores = self._trie
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if not len(code):
+            return size, np.zeros(0, dtype=np.int64)
+        word, ends = np.repeat(np.arange(len(words)), size), np.cumsum(size)
+        place = np.minimum(np.searchsorted(chars, code), len(chars) - 1)
+        known = chars[place] == code
+        live, state, edges = np.arange(len(code)), np.zeros(len(code), dtype=np.int64), []
+        bare = np.ones(len(code), dtype=bool)
+        for step in range(self.longest):
+            on = live + step < ends[word[live]]
+            live, state = live[on], state[on]
+            on = known[live + step]
+            live, state = live[on], state[on]
+            key = state * len(chars) + place[live + step]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            on = keys[at] == key
+            live, state = live[on], following[at[on]]
+            piece = np.flatnonzero(found[state] >= 0)
+            edges.append((live[piece], np.full(len(piece), step + 1), found[state[piece]], scores[state[piece]]))
+            if step == 0:
+                bare[live[piece]] = False
+        alone = np.flatnonzero(bare)
+        edges.append((alone, np.ones(len(alone), dtype=np.int64), np.full(len(alone), -1), np.full(len(alone), self.unknown)))
+        start, length, ids, score = (np.concatenate(e) for e in zip(*edges, strict=True))
+        # A word has one place more than characters.
+        begin = start + word[start]
+        end = begin + length
+        reach = start + length - (ends - size)[word[start]]
+        order = np.lexsort((start, reach))
+        best, back = np.full(len(code) + len(words), -np.inf), np.full(len(code) + len(words), -1)
+        first = ends - size + np.arange(len(words))
+        best[first] = 0
+        edge = np.flatnonzero(np.diff(reach[order], prepend=0, append=-1))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            own = order[lo:hi]
+            way, to = best[begin[own]] + score[own], end[own]
+            new = np.diff(to, prepend=-1) != 0
+            top = np.maximum.reduceat(way, np.flatnonzero(new))
+            group = np.cumsum(new) - 1
+            equal = np.flatnonzero(way == top[group])
+            # The earliest start among equals.
+            equal = equal[np.unique(group[equal], return_index=True)[1]]
+            best[to[new]], back[to[new]] = top, own[equal]
+        used = np.zeros(len(back), dtype=bool)
+        at = (first + size)[size > 0]
+        while len(at):
+            used[at] = True
+            at = begin[back[at]]
+            at = at[back[at] >= 0]
+        path = back[used]
+        number = ids[path]
+        wide = np.where(number >= 0, 1, 0)
+        spelled = {int(i): [self.byte_ids[b] for b in chr(int(code[start[path[i]]])).encode("utf-8", "surrogatepass")] for i in np.flatnonzero(number < 0)}
+        for i, own in spelled.items():
+            wide[i] = len(own)
+        out, firsts = np.repeat(number, wide), np.cumsum(wide) - wide
+        for i, own in spelled.items():
+            out[firsts[i] : firsts[i] + len(own)] = own
+        return np.bincount(word[start[path]], weights=wide, minlength=len(words)).astype(np.int64), out
+
     def words(self, text: str) -> list[str]:
         return self.cut([text.encode("utf-8", "replace")])[0].to_pylist()
 
@@ -137,7 +230,7 @@ def word_hash(words: pa.StringArray) -> np.ndarray:
 
 
 def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``w``: the words of all texts, each once."""
+    """``w``: the words of all texts, each once; ``n``: how many slices of texts have it."""
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
     def of(batch: pa.RecordBatch) -> dict[str, object]:
@@ -145,7 +238,20 @@ def distinct_words(docs: DataFrame, model: bytes, text_col: str = "text") -> Dat
         found = [own.cut(texts_of(part.column(0)))[0].unique() for part in _slices(batch, 0)]
         return {"w": pa.concat_arrays(found).unique()}
 
-    return arrow_map(docs.select(F.col(text_col)), of, "w string").distinct()
+    return arrow_map(docs.select(F.col(text_col)), of, "w string").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def commonest(words: DataFrame, max_bytes: int) -> DataFrame:
+    """The words of the highest ``n`` whose ids take ``max_bytes`` at most; all if they do."""
+    n = F.least("n", F.lit(OFTEN))
+    size = F.sum(F.lit(20) + 2 * F.octet_length("w"))
+    least, total = 1, 0
+    for r in sorted(words.groupBy(n.alias("n")).agg(size.alias("size")).collect(), key=lambda r: -r["n"]):
+        total += r["size"]
+        if total > max_bytes:
+            least = r["n"] + 1
+            break
+    return words.where(n >= least)
 
 
 # An edge in one number: end, start, and the id + 1, or _BARE + code point.
@@ -244,10 +350,11 @@ def _spell(ids: list[int], pieces: Pieces) -> list[int]:
     return out
 
 
-def word_table(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """``h`` (XXH64 of the word), ``ids`` of every distinct word of the texts."""
+def word_table(docs: DataFrame, model: bytes, text_col: str = "text", max_bytes: int = 128 << 20) -> DataFrame:
+    """``h`` (XXH64 of the word), ``ids`` of the distinct words of the texts, the commonest if all take over ``max_bytes``."""
     spark = docs.sparkSession
     words = stored(distinct_words(docs, model, text_col).withColumn("h", F.xxhash64("w")), "words")
+    words = commonest(words, max_bytes)
     n = max(1, -(-words.count() // WORDS_A_TASK))
     short = encode_words(words.repartition(n, "h"), model)
     sent = spark.sparkContext.broadcast(load_pieces(model))
@@ -284,15 +391,16 @@ class WordIds:
             at = np.arange(end[0] - own[0], end[-1])
             self.ids[at] = ids[np.repeat(first[lo : lo + WORDS_A_TASK] - (end - own), own) + at]
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.hashes, hashes)
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return place, self.hashes[place] == hashes
 
 
-def _packed(table: DataFrame, max_bytes: int) -> WordIds | None:
-    """The word table in arrays, or None if it takes over ``max_bytes``."""
-    size = table.agg(F.sum(F.lit(20) + 2 * F.size("ids"))).first()[0] or 0
-    if size > max_bytes:
-        return None
+def _packed(table: DataFrame) -> WordIds:
+    """The word table in arrays."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,11 +431,8 @@ def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", max_bytes:
     names = docs.columns
     at = names.index(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    table = word_table(docs, model, text_col)
-    packed = _packed(table, max_bytes)
+    packed = _packed(word_table(docs, model, text_col, max_bytes))
     schema = T.StructType([*rows.schema.fields, T.StructField("pieces", _ENCODED)])
-    if packed is None:
-        return _encode_by_join(rows, table, model, at, schema)
     sent = spark.sparkContext.broadcast((load_pieces(model), packed))
 
     target = arrow_schema(schema)
@@ -357,11 +462,20 @@ def _slices(batch: pa.RecordBatch, *path: int) -> Iterator[pa.RecordBatch]:
 def _encode_texts(own: Pieces, known: WordIds, texts: list[bytes]) -> pa.StructArray:
     words, lengths = own.cut(texts)
     coded = words.dictionary_encode()
-    place = known.places(word_hash(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
-    first = known.starts[place].astype(np.int64)
-    size = known.starts[place + 1] - first
+    place, there = known.places(word_hash(coded.dictionary))
+    first, size = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+    first[there] = known.starts[place[there]]
+    size[there] = known.starts[place[there] + 1] - first[there]
+    # Ids of the words that are not in the table follow the table's.
+    lengths_here, ids_here = own.lattice(coded.dictionary.filter(pa.array(~there)).to_pylist()) if not there.all() else (size[:0], size[:0])
+    first[~there], size[~there] = len(known.ids) + np.cumsum(lengths_here) - lengths_here, lengths_here
+    each = coded.indices.to_numpy(zero_copy_only=False)
+    first, size = first[each], size[each]
     ends = np.cumsum(size)
-    ids = known.ids[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
+    at = np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))
+    held = at < len(known.ids)
+    ids = np.empty(len(at), dtype=np.int64)
+    ids[held], ids[~held] = known.ids[at[held]], ids_here[at[~held] - len(known.ids)]
     edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
     return _result(own, ids, edges)
 
@@ -385,34 +499,6 @@ def _decoded(own: Pieces, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]
         yield data[a:b].replace(mark, b" ")[1:]
 
 
-def _encode_by_join(rows: DataFrame, table: DataFrame, model: bytes, at: int, schema: T.StructType) -> DataFrame:
-    """For word tables over the bound: words of distinct texts meet their ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    text = F.col(f"row.`{schema['row'].dataType[at].name}`")
-    rows = rows.select("row", F.unhex(F.sha2(text, 256)).alias("text_id"))
-
-    def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        own = load_pieces(sent.value)
-        words, lengths = own.cut(texts_of(batch.column(1)))
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        places = np.arange(len(text)) - (np.cumsum(lengths) - lengths)[text]
-        coded = words.dictionary_encode()
-        hashes = word_hash(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        return {"key": batch.column(0).take(pa.array(text)), "place": places.astype(np.int32), "h": hashes}
-
-    texts = rows.where("text_id IS NOT NULL").groupBy("text_id").agg(F.first(text).alias("text"))
-    words = arrow_map(texts, cut, "key binary, place int, h bigint")
-    found = words.join(table, "h").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
-    both = rows.join(found, F.col("text_id") == F.col("key"), "left").select("row", "ids")
-
-    def of(batch: pa.RecordBatch) -> dict[str, object]:
-        lists = [x or [] for x in batch.column(1).to_pylist()]
-        edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        return {"row": batch.column(0), "pieces": _result(load_pieces(sent.value), np.array([i for x in lists for i in x], dtype=np.int64), edges)}
-
-    return arrow_map(both, of, schema).select("row.*", "pieces")
-
-
 def decode(encoded: DataFrame, model: bytes, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give an empty text."""
     sent = encoded.sparkSession.sparkContext.broadcast(model)

@@ -100,3 +100,27 @@ def test_cuts_are_the_same_in_windows_of_any_length(monkeypatch):
         monkeypatch.setattr(pieces, "WINDOW", size)
         words, got = plain.cut(texts)
         assert words.equals(want) and got.tolist() == lengths.tolist()
+
+
+def test_words_beyond_the_broadcast_are_encoded_where_they_stand(spark):
+    """No text is shuffled, whichever words the broadcast has room for, and the ids are the same."""
+    texts = ["the common words " * 5 + f"rare{i} \U0001f600{i} \u6f22{i}" for i in range(40)] + ["", "x" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    want = {r.doc_id: r.pieces for r in encode(df, MODEL).collect()}
+    words = distinct_words(df, MODEL)
+    some = pieces.commonest(words, 600)
+    assert 0 < some.count() < words.count() and "\u2581the" in {r.w for r in some.collect()}
+    for max_bytes in (0, 600):
+        out = encode(df.coalesce(1), MODEL, max_bytes=max_bytes)
+        assert {r.doc_id: r.pieces for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_lattice_of_many_words_is_the_recurrence_of_each():
+    own, rng = load_pieces(MODEL), random.Random(4)
+    words = [w for t in ODD if t for w in own.words(t)] + ["", "\U0001f600", "a\u0416\U0001f600b"]
+    words += ["".join(rng.choice("abcdeinrst\u2581 =\u00e9\u6f22\u0436\U0001f600\n") for _ in range(rng.randrange(1, 70))) for _ in range(400)]
+    lengths, ids = own.lattice(words)
+    want = [own.word_ids(w) for w in words]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert own.lattice([])[1].tolist() == []
